@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import copies, lines, split
+from ledgerloom.llm import copies, leak, lines, markup, mix, neighbours, percentiles, split, subjects
 from ledgerloom.llm.text import TOKEN_JVM
 from ledgerloom.session import table
 
@@ -51,13 +51,75 @@ def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
     return classes.select(*SET, F.col("class_first").alias("chunk_id"), F.col("class_copies").alias("copies")).distinct()
 
 
+def _daily(spark: SparkSession, folder: str) -> DataFrame:
+    return percentiles.sketches(percentiles.valid_runs(table(spark, folder, "query_runs")), ["day", "route", "mode"], "latency_ms")
+
+
+def p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    whole = percentiles.merged(_daily(spark, folder), ["route", "mode"])
+    return percentiles.percentiles(whole, ["route", "mode"], {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
+
+
+def p2_daily(spark: SparkSession, folder: str) -> DataFrame:
+    return percentiles.percentiles(_daily(spark, folder), ["day", "route", "mode"], {"p50": 0.5, "p95": 0.95})
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.markup_kinds(table(spark, folder, "chunks"))
+
+
+def p5_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.clean_markup(table(spark, folder, "chunks"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = neighbours.similar_pairs(table(spark, folder, "embeddings_v1"), "content_hash", "embedding", 64, 5, 0.9)
+    return pairs.select(F.col("a").alias("content_hash_a"), F.col("b").alias("content_hash_b"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_spans(spark, folder).select("doc_id", "item_id")
+
+
+def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return leak.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    documents, targets = table(spark, folder, "documents"), table(spark, folder, "mix_targets")
+    return documents, targets, mix.selection(documents, targets)
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mix.mix_report(*_mix(spark, folder))
+
+
+def p9_selection(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[2]
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    assigned = subjects.assign_subjects(table(spark, folder, "documents"), table(spark, folder, "subject_labels"))
+    return assigned.select("doc_id", "subject")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p2_percentiles": p2_percentiles,
+    "p2_daily": p2_daily,
     "p3_found": p3_found,
     "p3_clean": p3_clean,
     "p4_found": p4_found,
     "p4_counts": p4_counts,
+    "p5_found": p5_found,
+    "p5_clean": p5_clean,
+    "p6_found": p6_found,
+    "p8_found": p8_found,
+    "p8_spans": p8_spans,
+    "p9_mix": p9_mix,
+    "p9_selection": p9_selection,
+    "p10_found": p10_found,
 }
 
 _FOLD = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
