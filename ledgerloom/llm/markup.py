@@ -299,7 +299,7 @@ def _sample(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
             own.append(rng.choice(inline) if rng.random() < 0.45 else ("", rng.choice(plain)))
         own = [own] if rng.random() < 0.6 else [[rng.choice(block) if rng.random() < 0.6 else ("", rng.choice(plain_block))]]
         for i, (kind, piece) in enumerate(own[0]):
-            if i:
+            if i and (kind not in ("html", "latex") or rng.random() < 0.7):
                 out.append(" ")
                 at += 1
             if kind:

@@ -9,6 +9,10 @@ those within a Hamming radius are reranked by the cosine of the floats.
 A bucket is a run of rows, in order of the whole rotated code that starts with the substring. The rows
 are range-partitioned in that order, so a bucket of any size spreads over tasks, and a run longer than
 ``BUCKET`` is cut where longer prefixes change: each vector then meets those that share most of its code.
+
+Many vectors in one narrow cone can share a whole code. Such a group is indexed again, by codes of what
+is left after its mean is taken off, and so on until no code is shared by too many. Within such groups each
+vector's nearest codes in each bucket are candidates, so candidates stay in proportion to vectors.
 """
 
 from __future__ import annotations
@@ -30,13 +34,16 @@ TABLES = 32
 BUCKET = 256
 #: Bits of the code that the Hamming radius is measured on.
 CHECK_BITS = 128
+#: Vectors that may share a whole code before the group is indexed again, and how often that is done.
+SHARED, LEVELS = 512, 6
+#: Nearest codes in a bucket that become candidates within such a group.
+NEAREST = 8
 
 
 def learn_rotation(x: np.ndarray, seed: int, rounds: int = 25) -> np.ndarray:
-    """An orthogonal matrix that brings ``x`` near to its own signs."""
-    start, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((x.shape[1], x.shape[1])))
-    turn = start
-    for _ in range(rounds):
+    """An orthogonal matrix that brings ``x`` near to its own signs; of no vectors, a random one."""
+    turn, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((x.shape[1], x.shape[1])))
+    for _ in range(rounds if len(x) else 0):
         u, _, v = np.linalg.svd(x.T @ np.where(x @ turn >= 0, 1.0, -1.0))
         turn = u @ v
     return turn
@@ -54,44 +61,61 @@ def usable(vectors: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
     scale = np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
-    x = x / scale
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.divide(x, scale, out=np.zeros_like(x), where=scale > 0)
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, size, out=x, where=size > 0)
 
 
-def _codes(unit: DataFrame, rotations: list[np.ndarray], bits: int, dim: int) -> DataFrame:
-    """A row for each vector and substring: ``(tab, code, rid, a, b)``.
+def _codes(rows: DataFrame, rotations: list[np.ndarray], stride: int, dim: int, exact: bool) -> DataFrame:
+    """A row for each vector of ``(grp, rid, v)`` and substring of ``stride`` bits: ``(grp, tab, code, rid, sig)``.
 
-    ``code`` starts with the substring and goes on with the following bits of the same rotation.
+    ``code`` starts with the substring and goes on with the following bits of the rotations. ``sig`` is what
+    rows of a bucket are compared by: two whole codes, or, with ``exact``, the vector in half precision.
     """
-    sent = unit.sparkSession.sparkContext.broadcast(np.concatenate(rotations, axis=1))
-    weights = (np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)).astype(np.uint64)
+    sent = rows.sparkSession.sparkContext.broadcast(np.concatenate(rotations, axis=1))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns = sent.value
-        width = turns.shape[1]
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
                 if not part.num_rows:
                     continue
-                on = (_matrix(part.column(1), dim) @ turns >= 0).astype(np.uint64)
-                rid = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                pack = lambda first: (on[:, np.arange(first, first + 64) % width] * weights).sum(axis=1, dtype=np.uint64)  # noqa: E731, B023
-                a, b = pack(0).view(np.int64), pack(64).view(np.int64)
+                on = (_matrix(part.column(2), dim) @ turns >= 0).astype(np.uint64)
+                if exact:
+                    raw = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float16)
+                else:
+                    raw = np.stack((_pack(on, 0), _pack(on, 64)), axis=1)
+                sig = pa.array([x.tobytes() for x in raw], pa.binary())
                 for tab in range(TABLES):
-                    code = pack(tab * bits)
                     # order of signed numbers as that of the bits
-                    signed = (code ^ np.uint64(1 << 63)).view(np.int64)
+                    signed = (_pack(on, tab * stride) ^ np.uint64(1 << 63)).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(rid), tab, np.int32)), pa.array(signed), pa.array(rid), pa.array(a), pa.array(b)],
-                        names=["tab", "code", "rid", "a", "b"],
+                        [part.column(0), pa.array(np.full(len(raw), tab, np.int32)), pa.array(signed), part.column(1), sig],
+                        names=["grp", "tab", "code", "rid", "sig"],
                     )
 
-    return unit.select("rid", "v").mapInArrow(encode, "tab int, code long, rid long, a long, b long")
+    return rows.select("grp", "rid", "v").mapInArrow(encode, "grp long, tab int, code long, rid long, sig binary")
+
+
+_WEIGHTS = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
+
 
+def _pack(on: np.ndarray, first: int) -> np.ndarray:
+    return (on[:, np.arange(first, first + 64) % on.shape[1]] * _WEIGHTS).sum(axis=1, dtype=np.uint64)
 
-def _ones(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x.view(np.uint64))
+
+def _whole_codes(rows: DataFrame, turn: np.ndarray, dim: int) -> DataFrame:
+    """``rows`` of ``(grp, rid, v)`` with ``own``, the code by one rotation."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = _pack((_matrix(batch.column(2), dim) @ turn >= 0).astype(np.uint64), 0).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=["grp", "rid", "v", "own"])
+
+    kind = dict(rows.dtypes)["v"]
+    return rows.select("grp", "rid", "v").mapInArrow(encode, f"grp long, rid long, v {kind}, own long")
 
 
 def _cuts(code: np.ndarray, bits: int) -> np.ndarray:
@@ -101,7 +125,7 @@ def _cuts(code: np.ndarray, bits: int) -> np.ndarray:
     top = code ^ np.uint64(1 << 63)
     while stack:
         low, high, depth = stack.pop()
-        prefix = top[low:high] >> np.uint64(64 - depth)
+        prefix = top[low:high] >> np.uint64(64 - depth) if depth else np.zeros(high - low, np.uint64)
         starts = np.concatenate(([0], np.flatnonzero(prefix[1:] != prefix[:-1]) + 1, [high - low])) + low
         for s, e in zip(starts[:-1], starts[1:], strict=True):
             if e - s <= BUCKET:
@@ -113,9 +137,19 @@ def _cuts(code: np.ndarray, bits: int) -> np.ndarray:
     return np.array(sorted(out))
 
 
-def _pairs_in(tab: np.ndarray, code: np.ndarray, rid: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ends = np.concatenate((np.flatnonzero(tab[1:] != tab[:-1]) + 1, [len(tab)]))
+def _pairs_in(grp: np.ndarray, tab: np.ndarray, code: np.ndarray, rid: np.ndarray, sig: np.ndarray, bits: int, radius: int | None, shared: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the buckets of sorted rows: those within the radius, or without one each row's nearest.
+
+    Pairs that share a whole code of ``shared`` are left to the next level.
+    """
+    ends = np.concatenate((np.flatnonzero((tab[1:] != tab[:-1]) | (grp[1:] != grp[:-1])) + 1, [len(tab)]))
     low = 0
+    if radius is None:
+        v = sig.view(np.float16).astype(np.float32)
+        norms = (v * v).sum(axis=1)
+    else:
+        a, b = sig.view(np.uint64).T
+        again = np.isin(a, shared.view(np.uint64)) if len(shared) else None
     for high in ends:
         starts = _cuts(code[low:high].view(np.uint64), bits) + low
         sizes = np.diff(np.concatenate((starts, [high])))
@@ -125,16 +159,62 @@ def _pairs_in(tab: np.ndarray, code: np.ndarray, rid: np.ndarray, a: np.ndarray,
                 continue
             # all buckets of one size at once
             at = starts[sizes == size]
+            if radius is None and size > NEAREST + 1:
+                for s in at:
+                    own = slice(s, s + size)
+                    far = norms[own, None] + norms[None, own] - 2 * (v[own] @ v[own].T)
+                    np.fill_diagonal(far, np.inf)
+                    near = np.argpartition(far, NEAREST, axis=1)[:, :NEAREST]
+                    left, right = np.repeat(rid[own], NEAREST), rid[own][near.ravel()]
+                    yield np.minimum(left, right), np.maximum(left, right)
+                continue
             i, j = np.triu_indices(size, 1)
             block = max(1, 2_000_000 // len(i))
             for s in range(0, len(at), block):
                 own = at[s : s + block, None]
                 left, right = (own + i).ravel(), (own + j).ravel()
-                near = _ones(a[left] ^ a[right]) + _ones(b[left] ^ b[right]) <= radius
-                left, right = rid[left[near]], rid[right[near]]
+                if radius is not None:
+                    near = np.bitwise_count(a[left] ^ a[right]) + np.bitwise_count(b[left] ^ b[right]) <= radius
+                    if again is not None:
+                        near &= ~(again[left] & (a[left] == a[right]))
+                    left, right = left[near], right[near]
+                left, right = rid[left], rid[right]
                 yield np.minimum(left, right), np.maximum(left, right)
 
 
+def _candidates(codes: DataFrame, bits: int, radius: int | None, shared: np.ndarray) -> DataFrame:
+    """``(ra, rb)``: pairs of rows that meet in a bucket, possibly several times."""
+    ordered = codes.repartitionByRange("grp", "tab", "code", "rid").sortWithinPartitions("grp", "tab", "code", "rid")
+    least_bits = max(1, bits)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+
+        def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for left, right in _pairs_in(*columns, bits, radius, shared):
+                if len(left):
+                    yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], names=["ra", "rb"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(i).to_numpy() for i in range(4)]
+            new.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(batch.num_rows, -1))
+            kept = [np.concatenate(x) for x in zip(kept, new, strict=True)] if kept else new
+            if len(kept[0]) < 100_000:
+                continue
+            # the last bucket goes on with the next batch, unless it is the whole
+            head = (kept[2].view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(64 - least_bits)
+            new = np.flatnonzero((head[1:] != head[:-1]) | (kept[1][1:] != kept[1][:-1]) | (kept[0][1:] != kept[0][:-1]))
+            at = new[-1] + 1 if len(new) else len(head)
+            yield from found([x[:at] for x in kept])
+            kept = [x[at:] for x in kept]
+        if kept and len(kept[0]):
+            yield from found(kept)
+
+    return ordered.mapInArrow(search, "ra long, rb long")
+
+
 def similar_pairs(vectors: DataFrame, key: str, vector: str, dim: int, k: int = 5, least: float = 0.9) -> DataFrame:
     """``(a, b, cosine)``: pairs of at least ``least``, one of which is among the ``k`` most similar to the other.
 
@@ -164,31 +244,28 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, dim: int, k: int =
     p = np.arccos(least) / np.pi
     radius = int(CHECK_BITS * p + 4 * np.sqrt(CHECK_BITS * p * (1 - p))) + 1
 
-    codes = _codes(unit, rotations, dim=dim, bits=bits)
-    ordered = codes.repartitionByRange("tab", "code", "rid").sortWithinPartitions("tab", "code", "rid")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.empty(0, t) for t in (np.int32, *[np.int64] * 4)]
-
-        def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for left, right in _pairs_in(*columns, bits, radius):
-                if len(left):
-                    yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], names=["ra", "rb"])
-
-        for batch in batches:
-            kept = [np.concatenate((x, batch.column(i).to_numpy())) for i, x in enumerate(kept)]
-            if len(kept[0]) < 100_000:
-                continue
-            # the last bucket goes on with the next batch, unless it is the whole
-            head = (kept[1].view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(64 - bits)
-            new = np.flatnonzero((head[1:] != head[:-1]) | (kept[0][1:] != kept[0][:-1]))
-            at = new[-1] + 1 if len(new) else len(head)
-            yield from found([x[:at] for x in kept])
-            kept = [x[at:] for x in kept]
-        if len(kept[0]):
-            yield from found(kept)
-
-    near = ordered.mapInArrow(search, "ra long, rb long").distinct()
+    rows = unit.select(F.lit(0).cast("long").alias("grp"), "rid", "v")
+    near, level = None, 0
+    while True:
+        # at most one code in SHARED of the rows can be shared by so many, and no more than a million
+        coded = _whole_codes(rows, rotations[0], dim)
+        many = coded.groupBy("grp", "own").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(SHARED, size // 1_000_000))
+        many = many.select("grp", "own")
+        crowded = many.collect() if level < LEVELS else []
+        shared = np.unique(np.array([r.own for r in crowded], dtype=np.int64))
+        found = _candidates(_codes(rows, rotations, bits or 16, dim, level > 0), bits, None if level else radius, shared)
+        near = found if near is None else near.union(found)
+        if not len(shared):
+            break
+        level += 1
+        # what is left of the crowded groups without their means, under a new number for each group
+        means = coded.join(many, ["grp", "own"]).withColumn("u", _unit(F.col("v")) if level == 1 else F.col("v"))
+        means = durable(means.select(F.xxhash64("grp", "own", F.lit(level)).alias("grp"), "rid", "u"))
+        centre = means.groupBy("grp").agg(F.array(*[F.avg(F.col("u")[i]) for i in range(dim)]).alias("m"))
+        rows = means.join(centre, "grp").select("grp", "rid", F.zip_with("u", "m", lambda x, y: x - y).alias("v"))
+        rotations = [learn_rotation(np.empty((0, dim)), 100 * level + seed) for seed in range(max(count, -(-TABLES * 16 // dim)))]
+        bits = 0  # buckets are as wide as they may be
+    near = near.distinct()
     left = unit.select(F.col("rid").alias("ra"), F.col("id").alias("a"), F.col("v").alias("va"))
     right = unit.select(F.col("rid").alias("rb"), F.col("id").alias("b"), F.col("v").alias("vb"))
     scored = near.join(left, "ra").join(right, "rb").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("cosine"))
@@ -213,6 +290,12 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, dim: int, k: int =
     return ends.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
+def _unit(v):
+    v = v.cast("array<double>")
+    size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(v, lambda x: x / size)
+
+
 def cosine(x, y):
     """Cosine of two arrays of doubles, in the JVM."""
     x, y = x.cast("array<double>"), y.cast("array<double>")
