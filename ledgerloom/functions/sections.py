@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import section_label
+from ledgerloom.session import spread
 
 LONGEST_HEADING = 150
 # The items that a filing of each form should have.
@@ -21,7 +22,7 @@ def detect_sections(documents: DataFrame, key: str = "doc_id", text: str = "text
     titled ones beat bare ones, and the last wins. A section lasts until the next heading that won. Texts
     without a heading, empty and null ones have no section.
     """
-    lines = documents.select(
+    lines = spread(documents.select(key, text, form)).select(
         F.col(key).alias("key"),
         F.upper(F.trim(F.coalesce(F.col(form), F.lit("")))).startswith("10-Q").alias("in_parts"),
         F.length(text).alias("size"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from abc import ABC, abstractmethod
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import ClassVar
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import params_hash
+from ledgerloom.session import spread
 
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 
@@ -23,6 +24,8 @@ class Tokenizer(ABC):
     """Spans of tokens in a text; a span may take in white space."""
 
     name: str
+    #: Whether no token reaches over white space, so that counts of parts add up.
+    additive = False
 
     @abstractmethod
     def spans(self, text: str) -> list[tuple[int, int]]: ...
@@ -35,6 +38,7 @@ class WordTokenizer(Tokenizer):
     """Words and single marks; needs no vocabulary."""
 
     name = "words"
+    additive = True
     _pattern = re.compile(r"\w+|[^\w\s]")
 
     def spans(self, text):
@@ -45,6 +49,7 @@ class SpaceTokenizer(Tokenizer):
     """Runs of what isn't white space."""
 
     name = "spaces"
+    additive = True
     _pattern = re.compile(r"\S+")
 
     def spans(self, text):
@@ -152,13 +157,23 @@ class Recursive(Strategy):
         return {"max_tokens": self.most, "min_tokens": self.least}
 
     def spans(self, text, regions):
-        return self.within(text, 0, len(text))
+        return self.within(text, [0, len(text)])
+
+    def within(self, text: str, edges: list[int]) -> list[tuple[int, int]]:
+        """Spans that don't reach across the edges."""
+        if self.tokenizer.additive:
+            # separators end in white space, so tokens can be counted by where they start
+            starts = [a for a, _ in self.tokenizer.spans(text)]
+            self._count = lambda a, b: bisect_left(starts, b) - bisect_left(starts, a)
+        else:
+            self._count = lambda a, b: self.tokenizer.count(text[a:b])
+        return [(a, b) for low, high in zip(edges, edges[1:], strict=False) for a, b, _ in self._packed(text, low, high, 0)]
 
-    def within(self, text: str, low: int, high: int) -> list[tuple[int, int]]:
-        return [(a, b) for a, b, _ in self._packed(text, low, high, 0)]
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_count"}
 
     def _packed(self, text: str, low: int, high: int, level: int) -> list[tuple[int, int, int]]:
-        tokens = self.tokenizer.count(text[low:high])
+        tokens = self._count(low, high)
         if tokens <= self.most:
             return [(low, high, tokens)]
         while level < len(SEPARATORS) and text.find(SEPARATORS[level], low, high) < 0:
@@ -187,7 +202,7 @@ class SectionAware(Recursive):
 
     def spans(self, text, regions):
         edges = sorted({0, len(text), *(r.start for r in regions)})
-        return [span for a, b in zip(edges, edges[1:], strict=False) for span in self.within(text, a, b)]
+        return self.within(text, edges)
 
 
 STRATEGIES: dict[str, type[Strategy]] = {s.name: s for s in (Fixed, Recursive, SectionAware)}
@@ -211,7 +226,7 @@ def chunk(documents: DataFrame, strategies: list[Strategy], sections: DataFrame
 
     Null and blank texts give no chunk.
     """
-    rows = documents.select(F.col(key).cast("string").alias("document_id"), F.col(text).alias("text"))
+    rows = spread(documents.select(F.col(key).cast("string").alias("document_id"), F.col(text).alias("text")))
     if sections is not None:
         # a document has at most one section for each item number and part
         own = sections.groupBy(F.col(key).cast("string").alias("document_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "label"))).alias("sections"))

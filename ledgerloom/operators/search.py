@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import english
+from ledgerloom.session import spread
 
 #: Legs that go to the workers at once.
 BLOCK = 2_000
@@ -199,7 +200,7 @@ def simple_text_hits(chunks: DataFrame, questions: DataFrame, most: int) -> Data
     asked = questions.select("question_id", F.array_sort(F.array_distinct(words(F.col("query")))).alias("asked")).where(F.size("asked") > 0)
     longest = F.array_max(F.transform("asked", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
     asked = asked.withColumn("word", longest.w)
-    rows = chunks.select("chunk_id", words(F.col("text")).alias("words"))
+    rows = spread(chunks.select("chunk_id", "text")).select("chunk_id", words(F.col("text")).alias("words"))
     with_word = rows.withColumn("word", F.explode(F.array_distinct("words"))).join(asked, "word")
     every = with_word.where(F.forall("asked", lambda w: F.array_contains("words", w)))
     often = F.size(F.filter("words", lambda w: F.array_contains("asked", w))).cast("double")
@@ -298,4 +299,5 @@ def corpus(chunks: DataFrame, vectors: DataFrame, documents: DataFrame, strategy
         F.min(F.regexp_replace("cik", "[^0-9]", "").cast("bigint")).cast("string").alias("company"), F.min(F.upper(F.trim("form_type"))).alias("form_type")
     )
     own = chunks.where((F.col("strategy") == strategy) & (F.col("params_hash") == params)).select("chunk_id", "document_id", "section", "text", "content_hash")
+    own = spread(own)
     return own.join(filings, "document_id").join(vectors.select("content_hash", "embedding"), "content_hash", "left").drop("content_hash")

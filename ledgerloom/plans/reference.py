@@ -9,7 +9,7 @@ from ledgerloom.functions import columns as fn
 from ledgerloom.functions import html, sections
 from ledgerloom.operators import catalog, chunking, evaluation, quantiles, routing
 from ledgerloom.operators import search as s
-from ledgerloom.session import table
+from ledgerloom.session import spread, table
 from ledgerloom.streaming import streams
 
 STRATEGY, PARAMS = "recursive", "bb4c04092d51ba94"
@@ -81,7 +81,8 @@ def hash_embed(spark, folder):
 
 
 def content_hash(spark, folder):
-    return table(spark, folder, "chunks").select("chunk_id", fn.content_hash(F.col("text")).alias("computed"), (fn.content_hash(F.col("text")) == F.col("content_hash")).alias("same"))
+    chunks = spread(table(spark, folder, "chunks").select("chunk_id", "text", "content_hash"))
+    return chunks.select("chunk_id", fn.content_hash(F.col("text")).alias("computed"), (fn.content_hash(F.col("text")) == F.col("content_hash")).alias("same"))
 
 
 def dedup_by_hash(spark, folder):
@@ -260,7 +261,7 @@ def section_hit_rate(spark, folder):
 
 
 def html_to_text(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", html.html_text(F.col("text")).alias("text"))
+    return spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", html.html_text(F.col("text")).alias("text"))
 
 
 def fixed_chunks(spark, folder):

@@ -57,3 +57,18 @@ def durable(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out evenly if it is a plain scan of fewer partitions than there are cores.
+
+    A small table in one row group would otherwise keep costly functions on one core. A table with as many
+    partitions as cores, or a plan with a shuffle of its own, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().executedPlan()
+    if "AdaptiveSparkPlan" in plan.toString() or "Exchange" in plan.toString():
+        return df
+    if plan.execute().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
