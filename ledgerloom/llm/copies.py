@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.text import WHITE, folded
-from ledgerloom.session import durable
+from ledgerloom.session import durable, spread
 
 
 def _digest(text: Column) -> Column:
@@ -91,7 +91,7 @@ def _with(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 def members(records: DataFrame, key: str, text: str, within: list[str]) -> DataFrame:
     """``(class_first, key)`` for each row of a class but the one with the smallest key."""
     classes = copy_classes(records, key, text, within)
-    rows = records.where(F.col(text).isNotNull()).select(*within, F.col(key).alias("_key"), _digest(F.col(text)).alias("raw"))
+    rows = spread(records.select(*within, key, text)).where(F.col(text).isNotNull()).select(*within, F.col(key).alias("_key"), _digest(F.col(text)).alias("raw"))
     same = [F.col(f"m.{c}").eqNullSafe(F.col(f"c.{c}")) for c in within] + [F.col("m.raw") == F.col("c.raw")]
     out = rows.alias("m").join(classes.alias("c"), same).where("m._key <> c.class_first")
     return out.select("class_first", F.col("m._key").alias(key))

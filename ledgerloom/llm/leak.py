@@ -19,6 +19,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ledgerloom.session import spread
+
 #: A run of letters and digits.
 WORD = re.compile(r"[^\W_]+")
 #: Words of items that one block may hold; 16 bytes each, with their fingerprints under 50 MB.
@@ -176,7 +178,7 @@ def leaked_items(
     """
     kind, item_kind = dict(corpus.dtypes)[key], dict(items.dtypes)[item_key]
     schema = f"`{key}` {kind}, `{item_key}` {item_kind}, shared_words int, first_word int"
-    rows = corpus.select(key, text)
+    rows = spread(corpus.select(key, text))
     out = corpus.sparkSession.createDataFrame([], schema)
     for block in _blocks(items, item_key, item_text, run):
         sent = corpus.sparkSession.sparkContext.broadcast(block)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.text import folded
+from ledgerloom.session import spread
 
 #: Rows of one line are spread over so many partitions, by the words of its bitmap.
 SPREAD = 16
@@ -87,4 +88,4 @@ def chunk_texts(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     filings = documents.groupBy(F.col("accession_no").alias("document_id")).agg(
         F.min(F.regexp_replace("cik", "[^0-9]", "").cast("bigint")).alias("source"), F.min("doc_id").alias("doc_no")
     )
-    return chunks.select("document_id", F.col("chunk_id").alias("item"), "text").join(filings, "document_id")
+    return spread(chunks.select("document_id", F.col("chunk_id").alias("item"), "text")).join(filings, "document_id")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.text import token_count
-from ledgerloom.session import durable
+from ledgerloom.session import durable, spread
 
 #: Parts of a pattern within which texts are put in order.
 PARTS = 1024
@@ -114,7 +114,7 @@ def units(documents: DataFrame, targets: DataFrame, tokens: Callable[[Column], C
     sources aren't used.
     """
     named = targets.select(source_name(F.col("source")).alias("source")).where("source is not null").distinct()
-    rows = documents.where("text is not null and text <> ''").select("doc_id", source_name(F.col("source")).alias("source"), "text")
+    rows = spread(documents.select("doc_id", source_name(F.col("source")).alias("source"), "text")).where("text is not null and text <> ''")
     rows = rows.select("doc_id", "source", F.unhex(F.sha2("text", 256)).alias("unit"), tokens(F.col("text")).cast("long").alias("tokens"))
     # no more sources than targets, so the sets are small
     mine = rows.join(named, "source").where("tokens > 0").groupBy("unit", "source").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"))

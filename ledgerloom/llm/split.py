@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.text import TOKEN, token_count
+from ledgerloom.session import spread
 
 #: Strength of a boundary by what lies between two tokens.
 PARAGRAPH, LINE, SENTENCE, SPACE, TOUCHING, INSIDE = 6.0, 4.0, 3.0, 1.5, 0.5, 0.0
@@ -134,4 +135,4 @@ def with_limits(chunks: DataFrame, param_sets: DataFrame) -> DataFrame:
         F.coalesce(number("max_tokens"), number("size_tokens")).alias("size_limit"),
         F.coalesce(number("overlap_tokens"), F.lit(0)).alias("size_overlap"),
     )
-    return chunks.join(limits, ["strategy", "params_hash"])
+    return spread(chunks).join(limits, ["strategy", "params_hash"])
