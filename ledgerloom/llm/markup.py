@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.boost import Boosted
+from ledgerloom.session import spread
 
 #: Generated texts that the trees are fitted on.
 SAMPLE = 1500
@@ -86,12 +87,18 @@ FORMS = [(name, kind, re.compile(pattern, re.M | re.S)) for name, kind, pattern
 VERBATIM = frozenset({"comment", "fence", "code", "display", "formula"})
 #: Forms that no language has; they are there to be told from the others.
 LOOKALIKE = frozenset({"angle", "hash", "underscore", "bracket", "equals"})
-#: What a text must match for any form to; the JVM's filter before Python.
+#: What a text must match one of for any form to; the JVM's filter before Python. The first starts with a class
+#: of single characters, which both engines scan for quickly; the second holds what starts a line.
 SIGNS = (
-    r"<[A-Za-z/!?]|&[#A-Za-z][A-Za-z0-9]*;|`|~~|\*\*[^*\n]+\*\*|\*[^*\n]+\*|__|''|\[\[|\]\(|\[https?://|\{\{|\\[A-Za-z%&$#_{}\[(\\]|\$[^$\n]*[\\_^={}][^$\n]*\$|\$\$"
-    r"|(?m:^[ \t]{0,3}(?:#{1,6}[ \t]|>|={3,}[ \t]*$|-{3,}[ \t]*$|~~~|_[ \t]*_)|^={2,6}[^\n]*==[ \t]*$|^\{\||^[|!][^\n]*(?:\|\||!!)|^\|-|^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*\|)"
-    r"|(?<![\w])_[^_\n]+_(?!\w)"
+    r"[<&`~*_'\[\]!{\\$](?:(?<=<)[A-Za-z/!?]|(?<=&)[#A-Za-z][A-Za-z0-9]*;|(?<=`)|(?<=~)~|(?<=\*)(?:\*[^*\n]+\*\*|[^*\n]+\*)|(?<=_)_"
+    r"|(?<=(?<!\w)_)[^_\n]+_(?!\w)|(?<=')'|(?<=\[)(?:\[|https?://)|(?<=\])\(|(?<=\{)\{|(?<=\\)[A-Za-z%&$#_{}\[(\\]|(?<=\$)(?:\$|[^$\n]*[\\_^={}][^$\n]*\$))",
+    r"(?m)^(?:[ \t]{0,3}(?:#{1,6}[ \t]|>|={3,}[ \t]*$|-{3,}[ \t]*$|(?:\*[ \t]*){3,}$|_[ \t]*_)|={2,6}[^\n]*==[ \t]*$|\{\||[|!][^\n]*(?:\|\||!!)|\|-|[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*\|)",
 )
+_SIGNS = tuple(map(re.compile, SIGNS))
+
+
+def signs_in(text: str) -> bool:
+    return bool(_SIGNS[0].search(text) or _SIGNS[1].search(text))
 
 
 class Node:
@@ -462,7 +469,7 @@ def markup_kinds(items: DataFrame, key: str = "chunk_id", text: str = "text") ->
                         kinds.append(kind)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int32())), pa.array(kinds, pa.string())], names=[key, "kind"])
 
-    signs = items.select(key, text).where(F.col(text).rlike(SIGNS))
+    signs = spread(items.select(key, text)).where(F.col(text).rlike(SIGNS[0]) | F.col(text).rlike(SIGNS[1]))
     return signs.mapInArrow(search, f"`{key}` {dict(items.dtypes)[key]}, kind string")
 
 
@@ -472,18 +479,16 @@ def clean_markup(items: DataFrame, key: str = "chunk_id", text: str = "text") ->
     Null texts stay null. One pass; texts without any sign of markup take the short way through Python.
     """
     trees = model()
-    signs = re.compile(SIGNS)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 texts = part.column(1).to_pylist()
-                dirty = [i for i, t in enumerate(texts) if t and signs.search(t)]
+                dirty = [i for i, t in enumerate(texts) if t and signs_in(t)]
                 kinds: list[list[str]] = [[] for _ in texts]
                 for i, nodes in zip(dirty, constructs([texts[i] for i in dirty], trees), strict=True):
                     kinds[i] = sorted({n.kind for n in nodes})
                     texts[i] = clean(texts[i], nodes)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(kinds, pa.list_(pa.string()))], names=[key, "text", "kinds"])
 
-    return items.select(key, text).mapInArrow(run, f"`{key}` {dict(items.dtypes)[key]}, text string, kinds array<string>")
+    return spread(items.select(key, text)).mapInArrow(run, f"`{key}` {dict(items.dtypes)[key]}, text string, kinds array<string>")
