@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.text import folded
-from ledgerloom.session import spread
+from ledgerloom.session import durable, spread
 
 #: Rows of one line are spread over so many partitions, by the words of its bitmap.
 SPREAD = 16
@@ -54,11 +54,11 @@ def repeated_lines(texts: DataFrame, least_documents: int = 6, least_chars: int
 
     Null texts, sources and document numbers give no rows; an empty text has one empty line, which is too
     short. Repeated rows of one item give repeated rows. ``except_texts`` has one column of texts; lines that
-    fold like one of them don't count. The lines are shuffled once: the bitmaps, the cardinalities and the
-    lookup use the same partitions.
+    fold like one of them don't count. The keyed lines, without their text, are written once and read for the
+    bitmaps and for the lookup, so texts are split and folded once.
     """
     texts = texts.where("text is not null and source is not null and doc_no is not null")
-    lines = keyed_lines(texts, least_chars).repartition(*KEY, "part")
+    lines = durable(keyed_lines(texts, least_chars))
     words = bitmaps(lines)
     count = F.sum(F.bit_count("bits")).alias("documents")
     often = words.groupBy(*KEY).agg(count).where(F.col("documents") >= least_documents).select(*KEY)
