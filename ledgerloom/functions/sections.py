@@ -22,15 +22,20 @@ def detect_sections(documents: DataFrame, key: str = "doc_id", text: str = "text
     titled ones beat bare ones, and the last wins. A section lasts until the next heading that won. Texts
     without a heading, empty and null ones have no section.
     """
-    lines = spread(documents.select(key, text, form)).select(
+    rows = spread(documents.select(key, text, form)).select(
         F.col(key).alias("key"),
         F.upper(F.trim(F.coalesce(F.col(form), F.lit("")))).startswith("10-Q").alias("in_parts"),
         F.length(text).alias("size"),
-        F.posexplode(F.split(text, "\n")).alias("nth", "line"),
+        F.split(text, "\n").alias("lines"),
     )
-    # offsets by a running sum of the lines before; a document's lines stay in one task, as its text did
+    # only lines that may be headings leave their row, so texts aren't shuffled
+    numbered = F.transform("lines", lambda x, i: F.struct(i.alias("nth"), x.alias("line")))
+    maybe = F.filter(numbered, lambda h: h.line.rlike(r"(?i)^[\s\x{a0}]*(?:part|item)\s"))
+    heads = rows.withColumn("h", F.explode(maybe)).select("key", "in_parts", "size", "h.nth", "h.line", "lines")
+    # the characters of the lines before, with a line feed after each
+    before = F.length(F.array_join(F.slice("lines", 1, F.col("nth")), "\n")) + F.when(F.col("nth") > 0, 1).otherwise(0)
+    lines = heads.withColumn("start", before).drop("lines")
     inside = Window.partitionBy("key").orderBy("nth")
-    lines = lines.withColumn("start", F.coalesce(F.sum(F.length("line") + 1).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     bare = F.trim(F.regexp_replace("line", r"^[\s\x{a0}]+|[\s\x{a0}]+$", ""))
     toc = bare.contains("|") & F.trim(F.element_at(F.split(bare, r"\|"), -1)).rlike(r"^\d{1,3}$")
     lines = lines.withColumn("bare", bare).where(F.length("bare").between(1, LONGEST_HEADING) & ~toc)

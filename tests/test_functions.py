@@ -62,3 +62,16 @@ def test_stemmer_and_queries():
     assert rank("growth or risk") and rank("supply -growth") and not rank("supply -risk") and not rank("the of") and not rank("")
     near, far = english.cover_density([[1], [2]]), english.cover_density([[1], [9]])
     assert near > far > 0
+
+
+def test_small_scans_are_dealt_out(spark, tmp_path):
+    from ledgerloom.session import spread
+
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "t"))
+    scan = spark.read.parquet(str(tmp_path / "t"))
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(scan).rdd.getNumPartitions() == cores and spread(scan).count() == 10
+    wide = spark.range(100, numPartitions=cores)
+    assert spread(wide) is wide
+    grouped = scan.groupBy("id").count()
+    assert spread(grouped) is grouped
