@@ -24,24 +24,22 @@ def _key(fold) -> list:
 
 
 def keyed_lines(texts: DataFrame, least_chars: int) -> DataFrame:
-    """``(source, line_a, line_b, part, word, bit, item, line_no)`` for each line that is long enough.
+    """``(line_a, line_b, line_no)`` of each line that is long enough, with the other columns of ``texts`` but ``text``.
 
-    ``texts`` has ``item``, ``source``, ``doc_no`` (bigint, one per document) and ``text``. The two hashes
-    are of the folded line, 128 bits together.
+    The two hashes are of the folded line, 128 bits together.
     """
-    lines = texts.select("item", "source", "doc_no", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.where(F.length("line") >= least_chars).withColumn("fold", folded(F.col("line")))
-    lines = lines.where(F.length("fold") >= least_chars)
+    kept = [c for c in texts.columns if c != "text"]
+    lines = texts.select(*kept, F.posexplode(F.split("text", "\n")).alias("_pos", "_line"))
+    lines = lines.where(F.length("_line") >= least_chars).withColumn("_fold", folded(F.col("_line")))
+    lines = lines.where(F.length("_fold") >= least_chars)
+    return lines.select(*kept, *_key(F.col("_fold")), (F.col("_pos") + 1).alias("line_no"))
+
+
+def with_bits(lines: DataFrame) -> DataFrame:
+    """With ``word`` and ``bit`` of each line's document in a bitmap, and the ``part`` that the word is in."""
     word = F.shiftright("doc_no", 6)
-    return lines.select(
-        "source",
-        *_key(F.col("fold")),
-        F.pmod(F.xxhash64(word), F.lit(SPREAD)).cast("int").alias("part"),
-        word.alias("word"),
-        F.expr("shiftleft(1L, cast(doc_no & 63 as int))").alias("bit"),
-        "item",
-        (F.col("pos") + 1).alias("line_no"),
-    )
+    part = F.pmod(F.xxhash64(word), F.lit(SPREAD)).cast("int")
+    return lines.select("source", "line_a", "line_b", part.alias("part"), word.alias("word"), F.expr("shiftleft(1L, cast(doc_no & 63 as int))").alias("bit"), "item", "line_no")
 
 
 def bitmaps(lines: DataFrame) -> DataFrame:
@@ -49,16 +47,23 @@ def bitmaps(lines: DataFrame) -> DataFrame:
     return lines.groupBy(*KEY, "part", "word").agg(F.bit_or("bit").alias("bits"))
 
 
-def repeated_lines(texts: DataFrame, least_documents: int = 6, least_chars: int = 16, except_texts: DataFrame | None = None) -> DataFrame:
+def repeated_lines(
+    texts: DataFrame, least_documents: int = 6, least_chars: int = 16, except_texts: DataFrame | None = None, documents: DataFrame | None = None
+) -> DataFrame:
     """``(item, line_no)`` of each line whose folded form stands in enough documents of its source.
 
-    Null texts, sources and document numbers give no rows; an empty text has one empty line, which is too
-    short. Repeated rows of one item give repeated rows. ``except_texts`` has one column of texts; lines that
-    fold like one of them don't count. The keyed lines, without their text, are written once and read for the
-    bitmaps and for the lookup, so texts are split and folded once.
+    ``texts`` has ``item``, ``text`` and either ``source`` and ``doc_no`` (bigint, one per document) or
+    ``document``, by which ``documents`` has those two. Null texts, sources and document numbers give no rows;
+    an empty text has one empty line, which is too short. Repeated rows of one item give repeated rows.
+    ``except_texts`` has one column of texts; lines that fold like one of them don't count. Texts are split
+    and folded where they are read; the keyed lines, without their text, are written once and read for the
+    bitmaps and for the lookup.
     """
-    texts = texts.where("text is not null and source is not null and doc_no is not null")
-    lines = durable(keyed_lines(texts, least_chars))
+    known = ["document"] if documents is not None else ["source", "doc_no"]
+    lines = keyed_lines(texts.select("item", "text", *known).where("text is not null"), least_chars)
+    if documents is not None:
+        lines = lines.join(documents, "document")
+    lines = durable(with_bits(lines.where("source is not null and doc_no is not null")))
     words = bitmaps(lines)
     count = F.sum(F.bit_count("bits")).alias("documents")
     often = words.groupBy(*KEY).agg(count).where(F.col("documents") >= least_documents).select(*KEY)
@@ -80,12 +85,14 @@ def without_lines(texts: DataFrame, key: str, text: str, found: DataFrame) -> Da
     return out.withColumn(text, cleaned).drop("_key", "_drop")
 
 
-def chunk_texts(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Chunks as ``(item, source, doc_no, text)``: the source is the company, ``cik`` as a number.
+def chunk_texts(chunks: DataFrame) -> DataFrame:
+    return spread(chunks.select(F.col("chunk_id").alias("item"), F.col("document_id").alias("document"), "text"))
+
+
+def filings(documents: DataFrame) -> DataFrame:
+    """``(document, source, doc_no)``: the source is the company, ``cik`` as a number.
 
-    A filing delivered again counts once, by its smallest ``doc_id``. Chunks of unknown filings give none.
+    A filing delivered again counts once, by its smallest ``doc_id``.
     """
-    filings = documents.groupBy(F.col("accession_no").alias("document_id")).agg(
-        F.min(F.regexp_replace("cik", "[^0-9]", "").cast("bigint")).alias("source"), F.min("doc_id").alias("doc_no")
-    )
-    return spread(chunks.select("document_id", F.col("chunk_id").alias("item"), "text")).join(filings, "document_id")
+    cik = F.regexp_replace("cik", "[^0-9]", "").cast("bigint")
+    return documents.groupBy(F.col("accession_no").alias("document")).agg(F.min(cik).alias("source"), F.min("doc_id").alias("doc_no"))

@@ -28,8 +28,8 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def _found_lines(spark: SparkSession, folder: str) -> DataFrame:
     chunks = table(spark, folder, "chunks")
-    texts = lines.chunk_texts(chunks, table(spark, folder, "documents"))
-    return lines.repeated_lines(texts, 6, 16, chunks.select("section")).withColumnRenamed("item", "chunk_id")
+    known = lines.filings(table(spark, folder, "documents"))
+    return lines.repeated_lines(lines.chunk_texts(chunks), 6, 16, chunks.select("section"), known).withColumnRenamed("item", "chunk_id")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
