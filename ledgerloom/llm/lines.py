@@ -29,10 +29,11 @@ def keyed_lines(texts: DataFrame, least_chars: int) -> DataFrame:
     The two hashes are of the folded line, 128 bits together.
     """
     kept = [c for c in texts.columns if c != "text"]
-    lines = texts.select(*kept, F.posexplode(F.split("text", "\n")).alias("_pos", "_line"))
-    lines = lines.where(F.length("_line") >= least_chars).withColumn("_fold", folded(F.col("_line")))
-    lines = lines.where(F.length("_fold") >= least_chars)
-    return lines.select(*kept, *_key(F.col("_fold")), (F.col("_pos") + 1).alias("line_no"))
+    # folded before lines become rows: a condition on the folded line would else fold it once more
+    fold = lambda x, i: F.struct((i + 1).alias("line_no"), F.when(F.length(x) >= least_chars, folded(x)).alias("fold"))
+    long = F.filter(F.transform(F.split("text", "\n"), fold), lambda x: F.length(x.fold) >= least_chars)
+    lines = texts.select(*kept, F.explode(long).alias("_line"))
+    return lines.select(*kept, *_key(F.col("_line.fold")), "_line.line_no")
 
 
 def with_bits(lines: DataFrame) -> DataFrame:
