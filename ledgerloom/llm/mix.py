@@ -117,9 +117,10 @@ def units(documents: DataFrame, targets: DataFrame, tokens: Callable[[Column], C
     rows = spread(documents.select("doc_id", source_name(F.col("source")).alias("source"), "text")).where("text is not null and text <> ''")
     rows = rows.select("doc_id", "source", F.unhex(F.sha2("text", 256)).alias("unit"), tokens(F.col("text")).cast("long").alias("tokens"))
     # no more sources than targets, so the sets are small
-    mine = rows.join(named, "source").where("tokens > 0").groupBy("unit", "source").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"))
+    mine = rows.join(named, "source").groupBy("unit", "source").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"))
     grouped = mine.groupBy("unit").agg(F.min("doc_id").alias("doc_id"), F.sort_array(F.collect_set("source")).alias("pattern"), F.max("tokens").alias("tokens"))
-    return grouped
+    # after the aggregation, so that the condition isn't moved to where it would count tokens twice
+    return grouped.where("tokens > 0")
 
 
 def selection(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17, tokens: Callable[[Column], Column] = token_count) -> DataFrame:
