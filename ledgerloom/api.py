@@ -23,13 +23,13 @@ class Engine:
     ``search.corpus`` gives it, ``aliases`` as ``routing.company_aliases``.
     """
 
-    def __init__(self, corpus: DataFrame, documents: DataFrame, vectors: Callable[[Column], Column], chunks: DataFrame | None = None):
-        self.corpus, self.documents, self.vectors, self.chunks = corpus, documents, vectors, chunks
+    def __init__(self, corpus: DataFrame, documents: DataFrame, vectors: Callable[[Column], Column], chunks: DataFrame | None = None, answerer: routing.Answerer = routing.extractive):
+        self.corpus, self.documents, self.vectors, self.chunks, self.answerer = corpus, documents, vectors, chunks, answerer
 
     @classmethod
     def over(cls, spark: SparkSession, folder: str, fn_vectors: Callable[[Column], Column], version: int | None = None) -> Engine:
         versions = table(spark, folder, "index_versions")
-        row = (versions.where(F.col("index_version_id") == version) if version is not None else catalog.latest_ready(versions.where("index_version_id = 1"))).first()
+        row = (versions.where(F.col("index_version_id") == version) if version is not None else catalog.latest_ready(versions)).first()
         if row is None:
             raise LookupError("no index version is ready")
         chunks, documents = table(spark, folder, "chunks"), table(spark, folder, "documents")
@@ -92,7 +92,7 @@ class Engine:
         final = durable(kept.unionByName(second))
         shown = final.where("graded_ok").select("question_id", F.posexplode(F.arrays_zip("retrieved_chunk_ids", "scores")).alias("pos", "h"))
         shown = shown.select("question_id", (F.col("pos") + 1).alias("rank"), F.col("h.retrieved_chunk_ids").alias("chunk_id"), F.col("h.scores").alias("score"))
-        answers = routing.extractive(routing.evidence(shown, self.corpus))
+        answers = self.answerer(routing.evidence(shown, self.corpus))
         refusal = F.concat(F.lit("Not covered by this corpus ("), F.col("reason"), F.lit(")."))
         out = final.join(answers, "question_id", "left")
         return out.select(
@@ -131,6 +131,16 @@ class Engine:
         return out.join(found, "question_id", "left").fillna(0, ["relevant_universe"])
 
 
+def compare(engines: dict[str, Engine], modes: list[str], questions: DataFrame, specs: DataFrame, threshold: float = routing.BAR) -> DataFrame:
+    """A row of metrics for each engine and mode over the same questions."""
+    out = None
+    for name, engine in engines.items():
+        for mode in modes:
+            one = evaluation.summary(engine.evaluate(questions, specs, mode, threshold)).select(F.lit(name).alias("name"), F.lit(mode).alias("mode"), "*")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def report(name: str, judgments: DataFrame, types: list[str]) -> str:
     """An evaluation as Markdown: metrics, recall by type, the sweep and the misses."""
     judgments = durable(judgments)

@@ -26,6 +26,7 @@ def _show(df: DataFrame, most: int = 1000) -> None:
 def main(argv: list[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="ledgerloom")
     top.add_argument("--data", default="data")
+    top.add_argument("--index", type=int, default=1, help="index version")
     sub = top.add_subparsers(dest="command", required=True)
     for name in ("version", "check", "companies", "index-versions", "parse-report"):
         sub.add_parser(name)
@@ -58,7 +59,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     spark = local_session()
     read = lambda name: table(spark, args.data, name)
-    engine = lambda: Engine.over(spark, args.data, lambda q: fn.nibbles(q, 64))
+    engine = lambda: Engine.over(spark, args.data, lambda q: fn.nibbles(q, 64), args.index)
     if args.command == "check":
         print(json.dumps({"spark": spark.version, "documents": read("documents").count(), "chunks": read("chunks").count()}))
     elif args.command == "companies":

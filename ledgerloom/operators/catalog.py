@@ -233,6 +233,53 @@ class Index:
         return {"embedded": self.vectors(number).count() - before, "already_present": before}
 
 
+RUNS = "run_id long, ts timestamp, query string, route string, index_version_id int, mode string, retrieved_chunk_ids array<bigint>, scores array<double>, top_vector_score double, rewritten boolean, refused boolean, refusal_reason string, answer string, llm_provider string, tokens_in int, tokens_out int, latency_ms double"
+
+
+def log_runs(store: Store, asked: DataFrame, answers: DataFrame, version: int, mode: str, latency_ms: float) -> DataFrame:
+    """Appends a run for each answered or refused question, numbered after those there, and gives the new rows.
+
+    ``asked`` has ``question_id`` and ``query``; ``latency_ms`` is of the batch, shared by its runs.
+    """
+    last = store.read("query_runs", RUNS).agg(F.coalesce(F.max("run_id"), F.lit(0))).first()[0]
+    rows = asked.select("question_id", "query").join(answers, "question_id")
+    # a batch of questions is a stated set, so numbering it in order is bounded
+    numbered = ranked(rows.withColumn("_one", F.lit(1)), ["_one"], "_one", "question_id", name="n")
+    out = numbered.select(
+        (F.col("n") + last).cast("long").alias("run_id"), F.current_timestamp().alias("ts"), "query", "route", F.lit(version).alias("index_version_id"), F.lit(mode).alias("mode"),
+        "retrieved_chunk_ids", "scores", "top_vector_score", "rewritten", "refused", F.col("reason").alias("refusal_reason"), "answer", F.lit("none").alias("llm_provider"),
+        F.lit(0).alias("tokens_in"), F.lit(0).alias("tokens_out"), F.lit(latency_ms).alias("latency_ms"),
+    )
+    store.append("query_runs", out)
+    return store.read("query_runs").where(F.col("run_id") > last)
+
+
+def check_schemas(store: Store, schemas: dict[str, str]) -> list[str]:
+    """Holds declared schemas against a manifest beside the tables, and adds those it lacks; gives the added names.
+
+    A schema that differs from the manifest's under the same name is an error: data may be written by it.
+    """
+    import hashlib
+
+    own = [(name, hashlib.sha256(" ".join(text.split()).encode()).hexdigest()) for name, text in sorted(schemas.items())]
+    known = {r.name: r.sha256 for r in store.read("schema_manifest", "name string, sha256 string").collect()}
+    drifted = [name for name, digest in own if known.get(name, digest) != digest]
+    if drifted:
+        raise ValueError(f"schemas changed after they were applied: {drifted}")
+    new = [x for x in own if x[0] not in known]
+    if new:
+        store.append("schema_manifest", store.spark.createDataFrame(new, "name string, sha256 string"))
+    return [name for name, _ in new]
+
+
+def company_names(documents: DataFrame) -> DataFrame:
+    """``(cik, company, spellings)``: of a company's spellings the most frequent, of equals the first in order."""
+    cik = F.regexp_replace("cik", "[^0-9]", "").cast("bigint")
+    counts = documents.where("company is not null").groupBy(cik.alias("cik"), F.trim("company").alias("company")).agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("n"), "company"))
+    return counts.groupBy("cik").agg(best.alias("b"), F.count(F.lit(1)).alias("spellings")).select("cik", "b.company", "spellings")
+
+
 def latest_ready(versions: DataFrame) -> DataFrame:
     """The newest version with status ready, or no row."""
     return versions.where("status = 'ready'").orderBy(F.desc("created_at"), F.desc("index_version_id")).limit(1)

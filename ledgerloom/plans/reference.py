@@ -178,7 +178,7 @@ def ask(spark, folder):
     """Plans, searches, grades, tries once more where that failed, and answers or refuses every item."""
     from ledgerloom.api import Engine
 
-    return Engine.over(spark, folder, fn_vectors=lambda q: fn.nibbles(q, DIM)).ask(table(spark, folder, "eval_items").select(F.col("item_id").alias("question_id"), F.col("text").alias("query")))
+    return Engine.over(spark, folder, lambda q: fn.nibbles(q, DIM), 1).ask(table(spark, folder, "eval_items").select(F.col("item_id").alias("question_id"), F.col("text").alias("query")))
 
 
 def _labelled(spark, folder):
@@ -292,7 +292,74 @@ def revenue_by_nation(spark, folder):
     return out.select("n_name", "year", "revenue", "items")
 
 
+def filtered_topk(spark, folder):
+    """Nearest chunks of annual reports of the largest company, for every item."""
+    own = corpus(spark, folder).where("form_type = '10-K' and embedding is not null")
+    legs = _with_companies(spark, folder).select("question_id", "query", "vector", F.lit(0).alias("nth"), F.element_at("companies", 1).alias("company"), F.lit(None).cast("string").alias("document_id"))
+    return _rounded(s.vector_hits(own, legs, 5))
+
+
+def form_postfilter(spark, folder):
+    """The ten nearest chunks of each item, and of those the annual reports' only."""
+    hits = _vectors(spark, folder, 10).join(corpus(spark, folder).select("chunk_id", "form_type"), "chunk_id")
+    return _rounded(hits.where("form_type = '10-K'"))
+
+
+def excerpts(spark, folder):
+    text = F.col("text")
+    return spread(table(spark, folder, "chunks").select("chunk_id", "text")).select("chunk_id", fn.excerpt(text, 300).alias("short"), fn.excerpt(text, 500, "…").alias("marked"))
+
+
+def citations(spark, folder):
+    rows = catalog.chunk_details(table(spark, folder, "chunks"), table(spark, folder, "documents"))
+    return rows.select("chunk_id", fn.citation(F.col("company"), F.col("form_type"), F.col("document_id"), F.col("section"), F.col("chunk_id")).alias("citation"))
+
+
+def filing_urls(spark, folder):
+    docs = table(spark, folder, "documents")
+    url = fn.source_url("https://archive.filings.example/data/", F.col("cik"), F.col("accession_no"), F.lit("main.htm"))
+    return docs.select("doc_id", fn.cik_number(F.col("cik")).alias("cik_number"), fn.accession_nodash(F.col("accession_no")).alias("nodash"), url.alias("url"))
+
+
+def page_lines_removed(spark, folder):
+    """Texts without lines that are page numbers or rows of a table of contents."""
+    line = F.split("text", "\n")
+    toc = lambda x: x.contains("|") & F.trim(F.element_at(F.split(x, r"\|"), -1)).rlike(r"^\d{1,3}$")
+    kept = F.filter(line, lambda x: ~x.rlike(r"^\s*-?\s*\d{1,3}\s*-?\s*$") & ~toc(x))
+    return spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", F.array_join(kept, "\n").alias("text"), (F.size(line) - F.size(kept)).alias("removed"))
+
+
+def company_names(spark, folder):
+    return catalog.company_names(table(spark, folder, "documents"))
+
+
+def latest_runs(spark, folder):
+    """The three newest runs of every question, however often one was asked."""
+    runs = s.ranked(table(spark, folder, "query_runs").select("query", "run_id", "ts").distinct(), ["query"], "ts", "run_id", most=3)
+    return runs.select("query", "rank", "run_id", "ts")
+
+
+def retrieved_sections(spark, folder):
+    """How often chunks of each section were retrieved by logged runs, and at which place on average."""
+    hits = table(spark, folder, "query_runs").select(F.posexplode("retrieved_chunk_ids").alias("pos", "chunk_id"))
+    named = hits.join(table(spark, folder, "chunks").select("chunk_id", F.upper(F.trim(F.coalesce("section", F.lit("none")))).alias("section")), "chunk_id")
+    return named.groupBy("section").agg(F.count(F.lit(1)).alias("hits"), F.sum(F.col("pos") + 1).alias("rank_sum"))
+
+
+def refusal_by_route(spark, folder):
+    name = F.regexp_replace(F.lower(F.trim("route")), "[ -]+", "_")
+    runs = table(spark, folder, "query_runs").groupBy(name.alias("route"), "refused").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("top_vector_score") < 0.68).alias("below"))
+    return runs
+
+
+def answered(spark, folder):
+    """Context for the nearest chunks of each item, as an answerer gets it."""
+    hits = _vectors(spark, folder, 6)
+    return routing.context_blocks(routing.evidence(hits, corpus(spark, folder))).withColumnRenamed("question_id", "item_id")
+
+
 _ALL = [
+    filtered_topk, form_postfilter, excerpts, citations, filing_urls, page_lines_removed, company_names, latest_runs, retrieved_sections, refusal_by_route, answered,
     vector_topk, fts_simple, fts_english, rrf_fusion, hybrid_search, comparison_fanout, temporal_fanout, hash_embed, content_hash, dedup_by_hash, embed_pending,
     distinct_hash_count, unchunked_documents, companies_filings, latest_per_form, chunk_details, index_versions, latest_ready_version, documents_upsert, ingest_classify,
     service_metrics, latency_nearest_rank, hourly_latency, form_hints, route_questions, ask, judgments, eval_summary, threshold_sweep, recall_by_type, eval_misses,
@@ -355,6 +422,25 @@ _SECTIONS = r"""
               CAST(coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), size) AS INT) AS "end" FROM won WHERE place = 1)"""
 
 ORACLE = {
+    "filtered_topk": f"""WITH {_CORPUS}, {_THREE}, scored AS (SELECT a.item_id, u.chunk_id, list_cosine_similarity(u.v, a.q) AS score FROM asked a, few f JOIN usable u ON f.nth = 0 AND u.company = f.company AND u.form_type = '10-K'),
+        near AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM scored)
+        SELECT item_id, chunk_id, rank, round(score, 6) AS score FROM near WHERE rank <= 5""",
+    "form_postfilter": f"WITH {_VECTOR} SELECT item_id, chunk_id, rank, round(score, 6) AS score FROM near JOIN corpus USING (chunk_id) WHERE rank <= 10 AND form_type = '10-K'",
+    "excerpts": f"""WITH f AS (SELECT chunk_id, trim(regexp_replace(text, '[{W}]+', ' ', 'g')) AS t FROM chunks)
+        SELECT chunk_id, substr(t, 1, 300) AS short, CASE WHEN length(t) > 500 THEN substr(t, 1, 500) || '…' ELSE t END AS marked FROM f""",
+    "citations": """SELECT c.chunk_id, d.company || ' ' || d.form_type || ' ' || c.document_id || ' — ' || coalesce(nullif(c.section, ''), 'no section') || ' — chunk ' || c.chunk_id AS citation
+        FROM chunks c JOIN (SELECT *, row_number() OVER (PARTITION BY accession_no ORDER BY doc_id) AS nth FROM documents) d ON d.accession_no = c.document_id AND d.nth = 1""",
+    "filing_urls": """SELECT doc_id, CAST(cik AS BIGINT) AS cik_number, replace(accession_no, '-', '') AS nodash,
+        'https://archive.filings.example/data/' || CAST(cik AS BIGINT) || '/' || replace(accession_no, '-', '') || '/main.htm' AS url FROM documents""",
+    "page_lines_removed": r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
+        k AS (SELECT doc_id, a, list_filter(a, lambda x: NOT regexp_matches(x, '^\s*-?\s*\d{1,3}\s*-?\s*$') AND NOT (contains(x, '|') AND regexp_matches(trim(string_split(x, '|')[-1]), '^\d{1,3}$'))) AS kept FROM l)
+        SELECT doc_id, coalesce(array_to_string(kept, chr(10)), '') AS text, CAST(len(a) - len(kept) AS INT) AS removed FROM k""",
+    "company_names": """SELECT cik, arg_min(company, (-n, company)) AS company, count(*) AS spellings FROM (
+        SELECT CAST(cik AS BIGINT) AS cik, trim(company) AS company, count(*) AS n FROM documents WHERE company IS NOT NULL GROUP BY 1, 2) GROUP BY 1""",
+    "latest_runs": """SELECT * FROM (SELECT query, row_number() OVER (PARTITION BY query ORDER BY ts DESC, run_id) AS rank, run_id, ts FROM (SELECT DISTINCT query, run_id, ts FROM query_runs)) WHERE rank <= 3""",
+    "retrieved_sections": """SELECT upper(trim(coalesce(section, 'none'))) AS section, count(*) AS hits, CAST(sum(pos) AS BIGINT) AS rank_sum FROM (
+        SELECT unnest(retrieved_chunk_ids) AS chunk_id, generate_subscripts(retrieved_chunk_ids, 1) AS pos FROM query_runs) JOIN chunks USING (chunk_id) GROUP BY 1""",
+    "refusal_by_route": """SELECT regexp_replace(lower(trim(route)), '[ -]+', '_', 'g') AS route, refused, count(*) AS runs, count(*) FILTER (top_vector_score < 0.68) AS below FROM query_runs GROUP BY 1, 2""",
     "vector_topk": f"WITH {_VECTOR} SELECT item_id, chunk_id, rank, round(score, 6) AS score FROM near WHERE rank <= 10",
     "fts_simple": f"WITH {_CORPUS}, {_SIMPLE} SELECT item_id, chunk_id, rank, score FROM simple WHERE rank <= 10",
     "rrf_fusion": f"""WITH {_VECTOR}, {_SIMPLE},

@@ -6,15 +6,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import cli, server
-from ledgerloom.api import Engine, report
+from ledgerloom.api import Engine, compare, report
 from ledgerloom.functions import columns as fn
+from ledgerloom.operators import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
 def engine(spark):
-    return Engine.over(spark, FOLDER, lambda q: fn.nibbles(q, 64))
+    return Engine.over(spark, FOLDER, lambda q: fn.nibbles(q, 64), 1)
 
 
 def test_search_ask_and_lookup(spark, engine):
@@ -32,6 +33,23 @@ def test_search_ask_and_lookup(spark, engine):
     assert engine.list_companies().count() > 0
 
 
+def test_runs_are_logged_in_order(spark, engine, tmp_path):
+    store = catalog.Store(spark, str(tmp_path))
+    asked = spark.createDataFrame([(1, "What does Zeta Motors sell?"), (2, "And Omega Planes?")], "question_id long, query string")
+    for n in (2, 4):
+        catalog.log_runs(store, asked, engine.ask(asked), 1, "hybrid", 5.0)
+        rows = store.read("query_runs").orderBy("run_id").collect()
+        assert [r.run_id for r in rows] == list(range(1, n + 1)) and all(r.refused for r in rows)
+
+
+def test_schema_drift_is_an_error(spark, tmp_path):
+    store = catalog.Store(spark, str(tmp_path))
+    assert catalog.check_schemas(store, {"a": "x int", "b": "y int"}) == ["a", "b"]
+    assert catalog.check_schemas(store, {"a": "x  int", "c": "z int"}) == ["c"]
+    with pytest.raises(ValueError, match="'a'"):
+        catalog.check_schemas(store, {"a": "x long"})
+
+
 def test_evaluation_report(spark, engine):
     spec = "question_id string, spec_id string, company string, form_type string, accession string, section_prefix string, must_contain string"
     asked = spark.createDataFrame([("a", "revenue goodwill", "single_fact", False, "all"), ("b", "x", "out_of_corpus", True, "all")], "question_id string, query string, type string, refuse boolean, require string")
@@ -39,6 +57,8 @@ def test_evaluation_report(spark, engine):
     for mode in ("text", "agent"):
         made = engine.evaluate(asked, specs, mode)
         assert made.count() == 2
+    both = compare({"one": engine}, ["text", "vector"], asked, specs)
+    assert sorted((r.name, r.mode, r.questions) for r in both.collect()) == [("one", "text", 2), ("one", "vector", 2)]
     text = report("text", engine.evaluate(asked, specs, "text"), ["single_fact", "out_of_corpus"])
     assert "recall_at_5" in text and "| 0.40 |" in text and "## Misses" in text
 
