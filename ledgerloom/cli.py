@@ -13,9 +13,11 @@ import ledgerloom
 from ledgerloom.api import Engine, report
 from ledgerloom.functions import columns as fn
 from ledgerloom.functions import sections
-from ledgerloom.operators import catalog, chunking, evaluation
+from ledgerloom.operators import catalog, chunking, evaluation, pipeline
+from ledgerloom.server import Service, serve
 from ledgerloom.session import local_session, table
 from ledgerloom.sources import files
+from ledgerloom.sources.client import Client
 
 
 def _show(df: DataFrame, most: int = 1000) -> None:
@@ -47,6 +49,14 @@ def main(argv: list[str] | None = None) -> int:
     p = sub.add_parser("embed")
     p.add_argument("--strategy", required=True)
     p.add_argument("--params-hash", required=True)
+    p = sub.add_parser("ingest")
+    p.add_argument("submissions", help="JSON files of submission indexes")
+    p.add_argument("--base", required=True, help="address that filings are fetched from")
+    p.add_argument("--raw", required=True)
+    p.add_argument("--form", action="append")
+    p.add_argument("--limit", type=int, default=2)
+    p = sub.add_parser("serve")
+    p.add_argument("--port", type=int, default=8000)
     for name in ("eval", "check-golden"):
         p = sub.add_parser(name)
         p.add_argument("golden")
@@ -83,6 +93,13 @@ def main(argv: list[str] | None = None) -> int:
         docs = read("documents")
         made = chunking.chunk(docs, chunking.get_strategies(args.strategy, args.max_tokens), sections.detect_sections(docs, "accession_no"))
         made.write.mode("overwrite").partitionBy("strategy", "params_hash").parquet(args.out)
+    elif args.command == "ingest":
+        settings = files.Settings.read()
+        web = Client(settings.user_agent, settings.max_rps)
+        found = files.submissions(spark, args.submissions)
+        print(json.dumps(pipeline.ingest(catalog.Store(spark, args.data), web, found, args.base, args.raw, args.form or ["10-K", "10-Q"], args.limit)))
+    elif args.command == "serve":
+        serve(Service(spark, engine(), read("query_runs")), port=args.port).serve_forever()
     elif args.command == "embed":
         index, provider = catalog.Index(catalog.Store(spark, args.data)), catalog.HashProvider(32)
         print(json.dumps(index.embed_pending(provider, index.get_or_create(provider, args.strategy, args.params_hash))))
