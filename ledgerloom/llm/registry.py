@@ -168,6 +168,24 @@ ORACLE = {
         SELECT first_chunk_id, chunk_id FROM (
           SELECT chunk_id, min(chunk_id) OVER (PARTITION BY strategy, params_hash, label) AS first_chunk_id FROM labelled)
         WHERE chunk_id <> first_chunk_id""",
+    "p6_found": """
+        WITH v AS (
+          SELECT content_hash AS h, CAST(embedding AS DOUBLE[]) AS v FROM embeddings_v1
+          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        near AS (
+          SELECT a.h, b.h AS o, list_cosine_similarity(a.v, b.v) AS c FROM v a JOIN v b ON a.h <> b.h
+          WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+        top AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY c DESC, o) AS nth FROM near)
+        SELECT DISTINCT least(h, o) AS content_hash_a, greatest(h, o) AS content_hash_b FROM top WHERE nth <= 5""",
+    "p8_found": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+        i AS (SELECT item_id, w, least(12, len(w)) AS n FROM (
+                SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items) WHERE len(w) > 0),
+        ig AS (SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM i)),
+        dg AS (SELECT DISTINCT doc_id, n, array_to_string(w[k : k + n - 1], ' ') AS g FROM (
+                SELECT d.doc_id, d.w, s.n, unnest(range(1, len(d.w) - s.n + 2)) AS k FROM d, (SELECT DISTINCT n FROM i) s))
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (n, g)""",
     "p4_counts": f"""WITH {_CLASSES}
         SELECT strategy, params_hash, min(chunk_id) AS chunk_id, count(*) AS copies
         FROM labelled GROUP BY strategy, params_hash, label HAVING count(*) > 1""",
