@@ -269,17 +269,20 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, dim: int, k: int =
     left = unit.select(F.col("rid").alias("ra"), F.col("id").alias("a"), F.col("v").alias("va"))
     right = unit.select(F.col("rid").alias("rb"), F.col("id").alias("b"), F.col("v").alias("vb"))
     scored = near.join(left, "ra").join(right, "rb").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("cosine"))
-    scored = scored.where(F.col("cosine") >= least)
+    scored = durable(scored.where(F.col("cosine") >= least))
 
     # from groups of copies to vectors: a lead may be near to the leads of its own and of other groups
-    several = leads.groupBy("v").agg(F.min("id").alias("g"), F.sort_array(F.collect_list("id")).alias("leads"))
+    # most groups are of one vector, and stand for themselves
+    more = leads.where("place = 2").select("v")
+    several = leads.join(more, "v").groupBy("v").agg(F.min("id").alias("g"), F.sort_array(F.collect_list("id")).alias("leads"))
+    several = durable(several)
     named = several.select("g", "leads")
     both = scored.union(scored.select("b", "a", "cosine")).toDF("g", "h", "cosine")
-    own = several.where(F.size("leads") > 1).select("g", F.explode("leads").alias("near"), F.lit(1.0).alias("cosine"))
-    other = both.join(named.toDF("h", "leads"), "h").select("g", F.explode("leads").alias("near"), "cosine")
+    own = named.select("g", F.explode("leads").alias("near"), F.lit(1.0).alias("cosine"))
+    other = both.join(named.toDF("h", "leads"), "h", "left").select("g", F.explode(F.coalesce("leads", F.array("h"))).alias("near"), "cosine")
     order = Window.partitionBy("g").orderBy(F.desc("cosine"), "near")
     best = other.union(own).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1)
-    mine = named.select("g", F.explode("leads").alias("id")).join(best, "g").where("id <> near")
+    mine = best.join(named, "g", "left").select(F.explode(F.coalesce("leads", F.array("g"))).alias("id"), "near", "cosine").where("id <> near")
     top = mine.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "near")))
     top = top.where(F.col("nth") <= k).select("id", "near", "cosine")
     # the other copies of a group have k leads as good as can be
