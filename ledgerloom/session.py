@@ -59,12 +59,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Bytes of a scan that may be dealt out again.
+SMALL = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt out evenly if it is a plain scan of fewer partitions than there are cores.
+    """``df``, dealt out evenly if it is a plain, small scan of fewer partitions than there are cores.
 
-    A small table in one row group would otherwise keep costly functions on one core. A table with as many
-    partitions as cores, or a plan with a shuffle of its own, stays as it is.
+    A small table in one row group would otherwise keep costly functions on one core. A table of more than
+    ``SMALL`` bytes or with as many partitions as cores, or a plan with a shuffle of its own, stays as it is.
     """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    # of the files as they are; a plan's own estimate takes texts for short
+    if sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) > SMALL:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution().executedPlan()
     if "AdaptiveSparkPlan" in plan.toString() or "Exchange" in plan.toString():
