@@ -6,13 +6,10 @@ code is cut into substrings, and each substring is an index of its own: two code
 bits than there are substrings agree in at least one. Agreement in any index makes a pair a candidate,
 those within a Hamming radius are reranked by the cosine of the floats.
 
-A bucket is a run of rows, in order of the whole rotated code that starts with the substring. The rows
-are range-partitioned in that order, so a bucket of any size spreads over tasks, and a run longer than
-``BUCKET`` is cut where longer prefixes change: each vector then meets those that share most of its code.
-
-Many vectors in one narrow cone can share a whole code. Such a group is indexed again, by codes of what
-is left after its mean is taken off, and so on until no code is shared by too many. Within such groups each
-vector's nearest codes in each bucket are candidates, so candidates stay in proportion to vectors.
+A bucket is all rows that share a substring, and all its pairs are compared. Rows of buckets over ``BUCKET``
+are a crowd: a pair that meets only in such buckets has both rows in it. The crowd is compared with itself
+once instead of once for each index: every pair of its blocks is one matrix product, exact and without a
+limit on its size. That costs the square of the crowd, and only each vector's best of a block are passed on.
 """
 
 from __future__ import annotations
@@ -30,14 +27,14 @@ from ledgerloom.session import durable
 SAMPLE = 20_000
 #: Number of substrings, each with its own index.
 TABLES = 32
-#: Rows of a bucket that are compared with each other.
+#: Rows of a bucket that are compared by their codes; those of larger ones are compared by their floats.
 BUCKET = 256
 #: Bits of the code that the Hamming radius is measured on.
 CHECK_BITS = 128
-#: Vectors that may share a whole code before the group is indexed again, and how often that is done.
-SHARED, LEVELS = 512, 6
-#: Nearest codes in a bucket that become candidates within such a group.
-NEAREST = 8
+#: Rows of a crowd in one block, and blocks at most; with more rows blocks grow. Rows of a matrix at a time.
+BLOCK, BLOCKS, TILE = 8192, 512, 1024
+#: What single precision may be off in a cosine.
+SLACK = 1e-5
 
 
 def learn_rotation(x: np.ndarray, seed: int, rounds: int = 25) -> np.ndarray:
@@ -66,11 +63,10 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.divide(x, size, out=x, where=size > 0)
 
 
-def _codes(rows: DataFrame, rotations: list[np.ndarray], stride: int, dim: int, exact: bool) -> DataFrame:
-    """A row for each vector of ``(grp, rid, v)`` and substring of ``stride`` bits: ``(grp, tab, code, rid, sig)``.
+def _codes(rows: DataFrame, rotations: list[np.ndarray], bits: int, dim: int) -> DataFrame:
+    """A row for each vector of ``(rid, v)`` and substring of ``bits`` bits: ``(tab, code, rid, sig)``.
 
-    ``code`` starts with the substring and goes on with the following bits of the rotations. ``sig`` is what
-    rows of a bucket are compared by: two whole codes, or, with ``exact``, the vector in half precision.
+    ``sig`` has the bits that rows of a bucket are compared by.
     """
     sent = rows.sparkSession.sparkContext.broadcast(np.concatenate(rotations, axis=1))
 
@@ -81,21 +77,17 @@ def _codes(rows: DataFrame, rotations: list[np.ndarray], stride: int, dim: int,
                 part = batch.slice(start, 2000)
                 if not part.num_rows:
                     continue
-                on = (_matrix(part.column(2), dim) @ turns >= 0).astype(np.uint64)
-                if exact:
-                    raw = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float16)
-                else:
-                    raw = np.stack((_pack(on, 0), _pack(on, 64)), axis=1)
+                on = (_matrix(part.column(1), dim) @ turns >= 0).astype(np.uint64)
+                raw = np.stack((_pack(on, 0), _pack(on, 64)), axis=1)
                 sig = pa.array([x.tobytes() for x in raw], pa.binary())
                 for tab in range(TABLES):
-                    # order of signed numbers as that of the bits
-                    signed = (_pack(on, tab * stride) ^ np.uint64(1 << 63)).view(np.int64)
+                    code = (_pack(on, tab * bits) >> np.uint64(64 - bits)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0), pa.array(np.full(len(raw), tab, np.int32)), pa.array(signed), part.column(1), sig],
-                        names=["grp", "tab", "code", "rid", "sig"],
+                        [pa.array(np.full(len(raw), tab, np.int32)), pa.array(code), part.column(0), sig],
+                        names=["tab", "code", "rid", "sig"],
                     )
 
-    return rows.select("grp", "rid", "v").mapInArrow(encode, "grp long, tab int, code long, rid long, sig binary")
+    return rows.select("rid", "v").mapInArrow(encode, "tab int, code long, rid long, sig binary")
 
 
 _WEIGHTS = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
@@ -105,116 +97,141 @@ def _pack(on: np.ndarray, first: int) -> np.ndarray:
     return (on[:, np.arange(first, first + 64) % on.shape[1]] * _WEIGHTS).sum(axis=1, dtype=np.uint64)
 
 
-def _whole_codes(rows: DataFrame, turn: np.ndarray, dim: int) -> DataFrame:
-    """``rows`` of ``(grp, rid, v)`` with ``own``, the code by one rotation."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                own = _pack((_matrix(batch.column(2), dim) @ turn >= 0).astype(np.uint64), 0).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=["grp", "rid", "v", "own"])
-
-    kind = dict(rows.dtypes)["v"]
-    return rows.select("grp", "rid", "v").mapInArrow(encode, f"grp long, rid long, v {kind}, own long")
-
-
-def _cuts(code: np.ndarray, bits: int) -> np.ndarray:
-    """Where runs of one bucket begin; runs over ``BUCKET`` are cut at the longest prefix that changes."""
-    out = []
-    stack = [(0, len(code), bits)]
-    top = code ^ np.uint64(1 << 63)
-    while stack:
-        low, high, depth = stack.pop()
-        prefix = top[low:high] >> np.uint64(64 - depth) if depth else np.zeros(high - low, np.uint64)
-        starts = np.concatenate(([0], np.flatnonzero(prefix[1:] != prefix[:-1]) + 1, [high - low])) + low
-        for s, e in zip(starts[:-1], starts[1:], strict=True):
-            if e - s <= BUCKET:
-                out.append(s)
-            elif depth < 64:
-                stack.append((s, e, min(64, depth + 1)))
-            else:  # one code in all 64 bits: neighbours in order
-                out.extend(range(s, e, BUCKET))
-    return np.array(sorted(out))
-
-
-def _pairs_in(grp: np.ndarray, tab: np.ndarray, code: np.ndarray, rid: np.ndarray, sig: np.ndarray, bits: int, radius: int | None, shared: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of the buckets of sorted rows: those within the radius, or without one each row's nearest.
-
-    Pairs that share a whole code of ``shared`` are left to the next level.
-    """
-    ends = np.concatenate((np.flatnonzero((tab[1:] != tab[:-1]) | (grp[1:] != grp[:-1])) + 1, [len(tab)]))
-    low = 0
-    if radius is None:
-        v = sig.view(np.float16).astype(np.float32)
-        norms = (v * v).sum(axis=1)
-    else:
-        a, b = sig.view(np.uint64).T
-        again = np.isin(a, shared.view(np.uint64)) if len(shared) else None
-    for high in ends:
-        starts = _cuts(code[low:high].view(np.uint64), bits) + low
-        sizes = np.diff(np.concatenate((starts, [high])))
-        low = high
-        for size in np.unique(sizes):
-            if size < 2:
-                continue
-            # all buckets of one size at once
-            at = starts[sizes == size]
-            if radius is None and size > NEAREST + 1:
-                for s in at:
-                    own = slice(s, s + size)
-                    far = norms[own, None] + norms[None, own] - 2 * (v[own] @ v[own].T)
-                    np.fill_diagonal(far, np.inf)
-                    near = np.argpartition(far, NEAREST, axis=1)[:, :NEAREST]
-                    left, right = np.repeat(rid[own], NEAREST), rid[own][near.ravel()]
-                    yield np.minimum(left, right), np.maximum(left, right)
-                continue
-            i, j = np.triu_indices(size, 1)
-            block = max(1, 2_000_000 // len(i))
-            for s in range(0, len(at), block):
-                own = at[s : s + block, None]
-                left, right = (own + i).ravel(), (own + j).ravel()
-                if radius is not None:
-                    near = np.bitwise_count(a[left] ^ a[right]) + np.bitwise_count(b[left] ^ b[right]) <= radius
-                    if again is not None:
-                        near &= ~(again[left] & (a[left] == a[right]))
-                    left, right = left[near], right[near]
-                left, right = rid[left], rid[right]
-                yield np.minimum(left, right), np.maximum(left, right)
-
-
-def _candidates(codes: DataFrame, bits: int, radius: int | None, shared: np.ndarray) -> DataFrame:
-    """``(ra, rb)``: pairs of rows that meet in a bucket, possibly several times."""
-    ordered = codes.repartitionByRange("grp", "tab", "code", "rid").sortWithinPartitions("grp", "tab", "code", "rid")
-    least_bits = max(1, bits)
+def _pairs_in(sizes: np.ndarray, rid: np.ndarray, sig: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within the radius of sorted rows in buckets of ``sizes``, without those of buckets over ``BUCKET``."""
+    starts = np.cumsum(sizes) - sizes
+    a, b = sig.view(np.uint64).T
+    for size in np.unique(sizes):
+        if size < 2 or size > BUCKET:
+            continue
+        # all buckets of one size at once
+        at = starts[sizes == size]
+        i, j = np.triu_indices(size, 1)
+        block = max(1, 2_000_000 // len(i))
+        for s in range(0, len(at), block):
+            own = at[s : s + block, None]
+            left, right = (own + i).ravel(), (own + j).ravel()
+            near = np.bitwise_count(a[left] ^ a[right]) + np.bitwise_count(b[left] ^ b[right]) <= radius
+            left, right = rid[left[near]], rid[right[near]]
+            yield np.minimum(left, right), np.maximum(left, right)
+
+
+def _candidates(codes: DataFrame, radius: int) -> DataFrame:
+    """``(ra, rb)``: pairs of rows that meet in a bucket, possibly several times; without ``rb`` a row of the crowd."""
+    ordered = codes.repartition("tab", "code").sortWithinPartitions("tab", "code", "rid")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
 
+        def starts_of(columns: list[np.ndarray]) -> np.ndarray:
+            tab, code = columns[:2]
+            return np.concatenate(([0], np.flatnonzero((tab[1:] != tab[:-1]) | (code[1:] != code[:-1])) + 1))
+
         def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for left, right in _pairs_in(*columns, bits, radius, shared):
+            if not len(columns[0]):
+                return
+            sizes = np.diff(np.append(starts_of(columns), len(columns[0])))
+            for left, right in _pairs_in(sizes, *columns[2:], radius):
                 if len(left):
                     yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], names=["ra", "rb"])
+            many = columns[2][np.repeat(sizes > BUCKET, sizes)]
+            if len(many):
+                yield pa.RecordBatch.from_arrays([pa.array(many), pa.nulls(len(many), pa.int64())], names=["ra", "rb"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch.column(i).to_numpy() for i in range(4)]
-            new.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(batch.num_rows, -1))
+            new = [batch.column(i).to_numpy() for i in range(3)]
+            new.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(batch.num_rows, -1))
             kept = [np.concatenate(x) for x in zip(kept, new, strict=True)] if kept else new
             if len(kept[0]) < 100_000:
                 continue
-            # the last bucket goes on with the next batch, unless it is the whole
-            head = (kept[2].view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(64 - least_bits)
-            new = np.flatnonzero((head[1:] != head[:-1]) | (kept[1][1:] != kept[1][:-1]) | (kept[0][1:] != kept[0][:-1]))
-            at = new[-1] + 1 if len(new) else len(head)
-            yield from found([x[:at] for x in kept])
-            kept = [x[at:] for x in kept]
-        if kept and len(kept[0]):
+            # the last bucket goes on with the next batch; of one that is the whole, as many rows as make it a crowd
+            at = starts_of(kept)[-1]
+            if at:
+                yield from found([x[:at] for x in kept])
+                kept = [x[at:] for x in kept]
+            else:
+                yield from found(kept)
+                kept = [x[: BUCKET + 1] for x in kept]
+        if kept:
             yield from found(kept)
 
     return ordered.mapInArrow(search, "ra long, rb long")
 
 
+def _best(owner: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
+    """Whether each cosine is among its owner's ``k`` largest, as far as single precision can tell."""
+    order = np.lexsort((-near, owner))
+    first = np.concatenate(([0], np.flatnonzero(np.diff(owner[order])) + 1))
+    sizes = np.diff(np.append(first, len(owner)))
+    bar = near[order][first + np.minimum(sizes, k) - 1] - SLACK
+    out = np.empty(len(owner), bool)
+    out[order] = near[order] >= np.repeat(bar, sizes)
+    return out
+
+
+def _block_pairs(a: np.ndarray, b: np.ndarray | None, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``a`` and ``b`` (None: ``a`` itself) of pairs of unit vectors of at least ``least``.
+
+    Of those, the ``k`` nearest of each vector of either block and all that are as near.
+    """
+    other = a if b is None else b
+    rows, cols, cosines = [], [], []
+    for i in range(0, len(a), TILE):
+        for j in range(i if b is None else 0, len(other), TILE):
+            near = a[i : i + TILE] @ other[j : j + TILE].T
+            if b is None and i == j:
+                np.fill_diagonal(near, -2)
+            on = near >= least - SLACK
+            hits = np.count_nonzero(on)
+            if not hits:
+                continue
+            if hits > 4 * k * len(near):
+                high, wide = near.shape
+                by_row = np.partition(near, wide - min(k, wide), axis=1)[:, wide - min(k, wide), None]
+                by_col = np.partition(near, high - min(k, high), axis=0)[high - min(k, high)]
+                on &= (near >= by_row - SLACK) | (near >= by_col - SLACK)
+            if b is None and i == j:  # each pair once
+                on = np.triu(on | on.T, 1)
+            r, c = np.nonzero(on)
+            rows.append(r + i)
+            cols.append(c + j)
+            cosines.append(near[r, c])
+    if not rows:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    row, col, near = np.concatenate(rows), np.concatenate(cols), np.concatenate(cosines)
+    if b is None:  # a pair counts for both of its ends
+        both = _best(np.concatenate((row, col)), np.concatenate((near, near)), k)
+        on = both[: len(row)] | both[len(row) :]
+    else:
+        on = _best(row, near, k) | _best(col, near, k)
+    return row[on], col[on]
+
+
+def _crowd_pairs(crowd: DataFrame, size: int, dim: int, k: int, least: float) -> DataFrame:
+    """``(ra, rb)``: of all pairs of ``(rid, v)`` of at least ``least``, each row's ``k`` nearest at least."""
+    blocks = int(np.clip(-(-size // BLOCK), 1, BLOCKS))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(1), dim).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([y.tobytes() for y in x], pa.binary())], names=["rid", "x"])
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, dim)
+        rid, block = rows.column("rid").to_numpy(), rows.column("block").to_numpy()
+        low, high = (np.flatnonzero(block == q.as_py()) for q in key)
+        i, j = _block_pairs(x[low], None if key[0] == key[1] else x[high], k, least)
+        left, right = rid[low[i]], rid[high[j]]
+        return pa.table({"ra": np.minimum(left, right), "rb": np.maximum(left, right)})
+
+    packed = crowd.select("rid", "v").mapInArrow(pack, "rid long, x binary").withColumn("block", F.pmod("rid", F.lit(blocks)))
+    dealt = packed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    dealt = dealt.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rid", "x")
+    return dealt.groupBy("low", "high").applyInArrow(compare, "ra long, rb long")
+
+
 def similar_pairs(vectors: DataFrame, key: str, vector: str, dim: int, k: int = 5, least: float = 0.9) -> DataFrame:
     """``(a, b, cosine)``: pairs of at least ``least``, one of which is among the ``k`` most similar to the other.
 
@@ -244,27 +261,12 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, dim: int, k: int =
     p = np.arccos(least) / np.pi
     radius = int(CHECK_BITS * p + 4 * np.sqrt(CHECK_BITS * p * (1 - p))) + 1
 
-    rows = unit.select(F.lit(0).cast("long").alias("grp"), "rid", "v")
-    near, level = None, 0
-    while True:
-        # at most one code in SHARED of the rows can be shared by so many, and no more than a million
-        coded = _whole_codes(rows, rotations[0], dim)
-        many = coded.groupBy("grp", "own").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(SHARED, size // 1_000_000))
-        many = many.select("grp", "own")
-        crowded = many.collect() if level < LEVELS else []
-        shared = np.unique(np.array([r.own for r in crowded], dtype=np.int64))
-        found = _candidates(_codes(rows, rotations, bits or 16, dim, level > 0), bits, None if level else radius, shared)
-        near = found if near is None else near.union(found)
-        if not len(shared):
-            break
-        level += 1
-        # what is left of the crowded groups without their means, under a new number for each group
-        means = coded.join(many, ["grp", "own"]).withColumn("u", _unit(F.col("v")) if level == 1 else F.col("v"))
-        means = durable(means.select(F.xxhash64("grp", "own", F.lit(level)).alias("grp"), "rid", "u"))
-        centre = means.groupBy("grp").agg(F.array(*[F.avg(F.col("u")[i]) for i in range(dim)]).alias("m"))
-        rows = means.join(centre, "grp").select("grp", "rid", F.zip_with("u", "m", lambda x, y: x - y).alias("v"))
-        rotations = [learn_rotation(np.empty((0, dim)), 100 * level + seed) for seed in range(max(count, -(-TABLES * 16 // dim)))]
-        bits = 0  # buckets are as wide as they may be
+    found = durable(_candidates(_codes(unit, rotations, bits, dim), radius))
+    near = found.where("rb IS NOT NULL")
+    crowd = durable(unit.join(found.where("rb IS NULL").select(F.col("ra").alias("rid")).distinct(), "rid"))
+    many = crowd.count()
+    if many:
+        near = near.union(_crowd_pairs(crowd, many, dim, k, least))
     near = near.distinct()
     left = unit.select(F.col("rid").alias("ra"), F.col("id").alias("a"), F.col("v").alias("va"))
     right = unit.select(F.col("rid").alias("rb"), F.col("id").alias("b"), F.col("v").alias("vb"))
@@ -293,12 +295,6 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, dim: int, k: int =
     return ends.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
-def _unit(v):
-    v = v.cast("array<double>")
-    size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(v, lambda x: x / size)
-
-
 def cosine(x, y):
     """Cosine of two arrays of doubles, in the JVM."""
     x, y = x.cast("array<double>"), y.cast("array<double>")

@@ -64,6 +64,28 @@ def test_a_hot_bucket_is_searched(spark):
     assert len(got & need) >= 0.9 * len(need)
 
 
+def nearest_pairs(x, k=5, least=0.9):
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    sims = x @ x.T
+    np.fill_diagonal(sims, -2)
+    order = np.argsort(-sims, axis=1)[:, :k]
+    return {(min(i, j), max(i, j)) for i in range(len(x)) for j in order[i].tolist() if sims[i, j] >= least}
+
+
+def test_a_crowd_is_compared_whole(spark):
+    # far more rows in one cone than a bucket has, in several blocks
+    rng = np.random.default_rng(17)
+    cone = rng.standard_normal(64) + 0.28 * rng.standard_normal((2000, 64))
+    x = np.concatenate((cone, rng.standard_normal((4000, 64)))).astype(np.float32).astype(float)
+    before, nb.BLOCK = getattr(nb, "BLOCK", None), 700
+    try:
+        got = nb.similar_pairs(vectors(spark, [(f"{i:05d}", v) for i, v in enumerate(x.tolist())]), "content_hash", "embedding", 64).collect()
+    finally:
+        nb.BLOCK = before
+    need = nearest_pairs(x)
+    assert len(need) > 7000 and {(int(r.a), int(r.b)) for r in got} == need
+
+
 def test_no_vectors(spark):
     empty = vectors(spark, [("zero", [0.0] * 64)])
     assert nb.similar_pairs(empty, "content_hash", "embedding", 64).count() == 0
