@@ -2,9 +2,11 @@
 
 Rotations learned from a bounded sample (alternating between the signs of the rotated vectors and the
 orthogonal matrix that best maps the vectors to those signs) give each vector a long binary code. The
-code is cut into substrings, and each substring is an index of its own: two codes that differ in fewer
-bits than there are substrings agree in at least one. Agreement in any index makes a pair a candidate,
-those within a Hamming radius are reranked by the cosine of the floats.
+code is cut into substrings, and each substring is an index of its own. Agreement in any index makes a pair
+a candidate, those within a Hamming radius are reranked by the cosine of the floats. Substrings grow with the
+logarithm of the table so that buckets don't grow, and the longer they are, the more there are of them: the
+chance that a pair of the least cosine agrees in none stays the same. Looking up neighbouring codes as well
+would need fewer indexes, but more lookups in all.
 
 A bucket is all rows that share a substring, and all its pairs are compared. Rows of buckets over ``BUCKET``
 are a crowd: a pair that meets only in such buckets has both rows in it. The crowd is compared with itself
@@ -25,8 +27,8 @@ from ledgerloom.session import durable
 
 #: Vectors that the rotations are learned from, at most.
 SAMPLE = 20_000
-#: Number of substrings, each with its own index.
-TABLES = 32
+#: Chance, at most, that a pair of the least cosine agrees in no substring.
+MISS = 1e-4
 #: Rows of a bucket that are compared by their codes; those of larger ones are compared by their floats.
 BUCKET = 256
 #: Bits of the code that the Hamming radius is measured on.
@@ -46,6 +48,12 @@ def learn_rotation(x: np.ndarray, seed: int, rounds: int = 25) -> np.ndarray:
     return turn
 
 
+def tables(bits: int, least: float) -> int:
+    """How many substrings of ``bits`` bits miss a pair of cosine ``least`` with a chance of ``MISS`` at most."""
+    # a bit differs with probability angle / pi
+    return int(np.ceil(np.log(MISS) / np.log1p(-((1 - np.arccos(least) / np.pi) ** bits))))
+
+
 def usable(vectors: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     """``(id, v)`` of the vectors with just ``dim`` finite components that aren't all zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -63,8 +71,8 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.divide(x, size, out=x, where=size > 0)
 
 
-def _codes(rows: DataFrame, rotations: list[np.ndarray], bits: int, dim: int) -> DataFrame:
-    """A row for each vector of ``(rid, v)`` and substring of ``bits`` bits: ``(tab, code, rid, sig)``.
+def _codes(rows: DataFrame, rotations: list[np.ndarray], bits: int, count: int, dim: int) -> DataFrame:
+    """A row for each vector of ``(rid, v)`` and of ``count`` substrings of ``bits`` bits: ``(tab, code, rid, sig)``.
 
     ``sig`` has the bits that rows of a bucket are compared by.
     """
@@ -80,7 +88,7 @@ def _codes(rows: DataFrame, rotations: list[np.ndarray], bits: int, dim: int) ->
                 on = (_matrix(part.column(1), dim) @ turns >= 0).astype(np.uint64)
                 raw = np.stack((_pack(on, 0), _pack(on, 64)), axis=1)
                 sig = pa.array([x.tobytes() for x in raw], pa.binary())
-                for tab in range(TABLES):
+                for tab in range(count):
                     code = (_pack(on, tab * bits) >> np.uint64(64 - bits)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(raw), tab, np.int32)), pa.array(code), part.column(0), sig],
@@ -254,14 +262,14 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, dim: int, k: int =
         return spark.createDataFrame([], f"a {dict(vectors.dtypes)[key]}, b {dict(vectors.dtypes)[key]}, cosine double")
     learn = learn / np.abs(learn).max(axis=1, keepdims=True)
     learn = learn / np.linalg.norm(learn, axis=1, keepdims=True)
-    bits = int(np.clip(np.ceil(np.log2(max(2, size))) - 1, 6, 24))
-    count = max(-(-TABLES * bits // dim), -(-CHECK_BITS // dim))
-    rotations = [learn_rotation(learn, seed) for seed in range(count)]
+    bits = max(6, int(np.ceil(np.log2(max(2, size)))) - 4)
+    count = tables(bits, least)
+    rotations = [learn_rotation(learn, seed) for seed in range(max(-(-count * bits // dim), -(-CHECK_BITS // dim)))]
     # a bit differs with probability angle / pi; four standard deviations above that
     p = np.arccos(least) / np.pi
     radius = int(CHECK_BITS * p + 4 * np.sqrt(CHECK_BITS * p * (1 - p))) + 1
 
-    found = durable(_candidates(_codes(unit, rotations, bits, dim), radius))
+    found = durable(_candidates(_codes(unit, rotations, bits, count, dim), radius))
     near = found.where("rb IS NOT NULL")
     crowd = durable(unit.join(found.where("rb IS NULL").select(F.col("ra").alias("rid")).distinct(), "rid"))
     many = crowd.count()

@@ -86,6 +86,19 @@ def test_a_crowd_is_compared_whole(spark):
     assert len(need) > 7000 and {(int(r.a), int(r.b)) for r in got} == need
 
 
+def test_pairs_of_the_least_cosine_are_met(spark):
+    rng = np.random.default_rng(18)
+    x = rng.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    # every vector below 1000 has one at a cosine of 0.901
+    side = rng.standard_normal((1000, 64))
+    side -= (side * x[:1000]).sum(axis=1)[:, None] * x[:1000]
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    x[1000:2000] = 0.901 * x[:1000] + np.sqrt(1 - 0.901**2) * side
+    got = nb.similar_pairs(vectors(spark, [(f"{i:05d}", v) for i, v in enumerate(x.tolist())]), "content_hash", "embedding", 64).collect()
+    assert len({(i, i + 1000) for i in range(1000)} & {(int(r.a), int(r.b)) for r in got}) >= 998
+
+
 def test_no_vectors(spark):
     empty = vectors(spark, [("zero", [0.0] * 64)])
     assert nb.similar_pairs(empty, "content_hash", "embedding", 64).count() == 0
