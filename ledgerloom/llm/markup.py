@@ -230,26 +230,20 @@ def exact(text: str, x: Node) -> bool:
     return True
 
 
-def decode(nodes: list[Node], odds: np.ndarray) -> list[bool]:
-    """Which nodes are markup: of a verbatim node and what is in it, the likelier of the two readings."""
+def decode(text: str, nodes: list[Node], odds: np.ndarray) -> list[bool]:
+    """Which nodes are markup: those above ``BAR`` of just the right form that aren't content of such a verbatim node.
+
+    Odds of a verbatim node and of what is in it aren't compared: a tag is as much a tag in code as elsewhere.
+    """
     index = {id(x): i for i, x in enumerate(nodes)}
-    taken = [bool(o > BAR) for o in odds]
-    closed = [False] * len(nodes)
+    taken = [bool(o > BAR) and exact(text, x) for o, x in zip(odds, nodes, strict=True)]
     for i, x in enumerate(nodes):
-        if closed[i]:
-            taken[i] = False
-        elif taken[i] and x.name in VERBATIM:
-            below, todo = [], list(x.children)
+        if taken[i] and x.name in VERBATIM:
+            todo = list(x.children)
             while todo:
                 y = todo.pop()
-                below.append(index[id(y)])
+                taken[index[id(y)]] = False
                 todo.extend(y.children)
-            # the gain of reading the node as markup against that of its descendants; a node around wins ties
-            mine = odds[i]
-            theirs = max((odds[j] for j in below if taken[j] and nodes[j].name in VERBATIM), default=-np.inf)
-            if mine >= theirs or nodes[i].end - nodes[i].start >= 3:
-                for j in below:
-                    closed[j] = True
     return taken
 
 
@@ -340,9 +334,9 @@ def constructs(texts: list[str], trees: Boosted) -> list[list[Node]]:
     odds = trees.margin(np.array(x, dtype=float))
     out, at = [], 0
     for t, own in zip(texts, parsed, strict=True):
-        kept = decode(own, odds[at : at + len(own)])
+        kept = decode(t, own, odds[at : at + len(own)])
         at += len(own)
-        out.append([n for n, k in zip(own, kept, strict=True) if k and exact(t, n)])
+        out.append([n for n, k in zip(own, kept, strict=True) if k])
     return out
 
 

@@ -57,6 +57,17 @@ def test_cleaning_leaves_plain_texts_alone(spark):
     assert [r.text for r in rows] == [*PLAIN, None] and all(r.kinds == [] for r in rows)
 
 
+def test_what_is_no_formula_hides_nothing():
+    class Even:
+        def margin(self, x):
+            return np.zeros(len(x))
+
+    text = "from $12 <b>net</b> to $14"
+    assert [n.name for n in markup.constructs([text], Even())[0]] == ["tag", "tag"]
+    # and code is code, whatever is in it
+    assert [n.name for n in markup.constructs(["use `<b>` here"], markup.model())[0]] == ["code"]
+
+
 def test_held_out_accuracy():
     rng = random.Random(99)
     trees = markup.model()
