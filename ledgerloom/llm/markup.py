@@ -91,7 +91,7 @@ LOOKALIKE = frozenset({"angle", "hash", "underscore", "bracket", "equals"})
 #: of single characters, which both engines scan for quickly; the second holds what starts a line.
 SIGNS = (
     r"[<&`~*_'\[\]!{\\$](?:(?<=<)[A-Za-z/!?]|(?<=&)[#A-Za-z][A-Za-z0-9]*;|(?<=`)|(?<=~)~|(?<=\*)(?:\*[^*\n]+\*\*|[^*\n]+\*)|(?<=_)_"
-    r"|(?<=(?<!\w)_)[^_\n]+_(?!\w)|(?<=')'|(?<=\[)(?:\[|https?://)|(?<=\])\(|(?<=\{)\{|(?<=\\)[A-Za-z%&$#_{}\[(\\]|(?<=\$)(?:\$|[^$\n]*[\\_^={}][^$\n]*\$))",
+    r"|(?<=(?<!\w)_)[^_\n]+_(?!\w)|(?<=')'|(?<=\[)(?:\[|https?://)|(?<=\])\(|(?<=\{)\{|(?<=\\)[A-Za-z%&$#_{}\[(\\]|(?<=\$)(?:\$|[^$\n]*[\\_^={}][^$\n]*\$|[^\s\d$][^ \n$]*\$))",
     r"(?m)^(?:[ \t]{0,3}(?:#{1,6}[ \t]|>|={3,}[ \t]*$|-{3,}[ \t]*$|(?:\*[ \t]*){3,}$|_[ \t]*_)|={2,6}[^\n]*==[ \t]*$|\{\||[|!][^\n]*(?:\|\||!!)|\|-|[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*\|)",
 )
 _SIGNS = tuple(map(re.compile, SIGNS))

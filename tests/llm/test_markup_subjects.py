@@ -57,6 +57,12 @@ def test_cleaning_leaves_plain_texts_alone(spark):
     assert [r.text for r in rows] == [*PLAIN, None] and all(r.kinds == [] for r in rows)
 
 
+def test_formulas_of_plain_letters_are_read(spark):
+    texts = ["where $x$ is the price", "the $n$ firms", "from $5 to $6", "$ 5 and $ 6"]
+    assert {(r.chunk_id, r.kind) for r in markup.markup_kinds(frame(spark, texts)).collect()} == {(0, "latex"), (1, "latex")}
+    assert [markup.signs_in(t) for t in texts] == [True, True, False, False]
+
+
 def test_what_is_no_formula_hides_nothing():
     class Even:
         def margin(self, x):
