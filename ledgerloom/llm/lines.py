@@ -71,7 +71,7 @@ def repeated_lines(
     if except_texts is not None:
         distinct = except_texts.toDF("text").where("text is not null").distinct()
         often = often.join(distinct.select(*_key(folded(F.col("text")))), ["line_a", "line_b"], "left_anti")
-    # deleting looks the line's own document up in its bitmap: the words of frequent lines, by the same key
+    # a line's own document is always set in its bitmap, so a join by the key stands for looking it up
     parts = often.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     return lines.join(parts, [*KEY, "part"], "left_semi").select("item", "line_no")
 
