@@ -150,6 +150,5 @@ def report(name: str, judgments: DataFrame, types: list[str]) -> str:
     lines += ["", "## recall@5 by type", "", "| type | recall@5 |", "|---|---|", *(f"| {k} | {'-' if v is None else f'{v:.2f}'} |" for k, v in kinds.items())]
     lines += ["", "## Refusal by threshold", "", "| threshold | precision | recall |", "|---|---|---|"]
     lines += [f"| {r.threshold:.2f} | {r.refusal_precision:.2f} | {r.refusal_recall:.2f} |" for r in evaluation.sweep(judgments).orderBy("threshold").collect()]
-    # a golden set has some dozens of questions; the report names at most a hundred
-    missed = [r.question_id for r in evaluation.misses(judgments).orderBy("question_id").limit(100).collect()]
+    missed = [r.question_id for r in evaluation.misses(judgments).orderBy("question_id").collect()]
     return "\n".join([*lines, "", "## Misses", "", ", ".join(map(str, missed)) or "none", ""])

@@ -178,3 +178,12 @@ def test_queries_have_the_oracles_columns(spark):
     df = e.entry(spark)
     assert df.columns == ["item_id", "chunk_id", "rank", "score"] and df.count() > 0
     assert e.queries()["embed_pending"](spark, folder).where(F.col("content_hash").isNull()).count() == 0
+
+
+def test_aliases_of_any_length_are_found(spark):
+    long = "the first national bank of the greater northern lakes region"
+    aliases = spark.createDataFrame([(long, "7", 7), ("acme", "8", 8)], "alias string, company string, nth long")
+    questions = spark.createDataFrame([(1, f"What did {long} earn?"), (2, "What did Acme earn?"), (3, "Who?")], "question_id long, query string")
+    got = {r.question_id: r.companies for r in routing.detect_companies(questions, aliases).collect()}
+    assert got == {1: ["7"], 2: ["8"], 3: []}
+    assert all(not r.companies for r in routing.detect_companies(questions, aliases.limit(0)).collect())
