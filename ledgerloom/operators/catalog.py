@@ -1,7 +1,8 @@
 """Tables of the engine: ingest, chunks, index versions and vectors, kept as Parquet folders.
 
-Writes are staged beside the table and moved into place by rename, so a run that dies leaves the table as
-it was. One writer at a time is assumed, as the pipeline's stages run one after the other.
+Replacements are staged beside the table or partition and moved into place by rename. A run that dies before
+leaves it as it was; one that dies between the renames is ended by whoever looks at the table next. One writer
+at a time is assumed, as the pipeline's stages run one after the other.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import columns as fn
 from ledgerloom.operators.search import ranked
+from ledgerloom.session import durable
 
 SCHEMA_VERSION = 1
 VERSIONS = "index_version_id int, embedding_model string, embedding_dim int, strategy string, params_hash string, chunk_params string, schema_version int, status string, chunk_count long, created_at timestamp"
@@ -32,6 +34,7 @@ class Store:
         return f"{self.folder}/{name}.parquet"
 
     def exists(self, name: str) -> bool:
+        self._recover(name)
         return self._fs.exists(self._path(self.at(name)))
 
     def read(self, name: str, schema: str | None = None) -> DataFrame:
@@ -40,23 +43,54 @@ class Store:
         return self.spark.read.parquet(self.at(name))
 
     def append(self, name: str, rows: DataFrame, by: list[str] | None = None) -> None:
+        self._recover(name)
         writer = rows.write.mode("append")
         (writer.partitionBy(*by) if by else writer).parquet(self.at(name))
 
     def replace(self, name: str, rows: DataFrame, by: list[str] | None = None) -> None:
         """The whole table anew, also from a plan that reads it."""
-        staged, old = self._path(self.at(name) + ".new"), self._path(self.at(name) + ".old")
+        self._recover(name)
+        self._swap(self.at(name), rows, by)
+
+    def replace_partition(self, name: str, values: dict[str, str], rows: DataFrame) -> None:
+        """One partition anew, also from a plan that reads it; ``rows`` is without the columns of ``values``."""
+        self._recover(name)
+        inner = "/".join(f"{c}={v}" for c, v in values.items())
+        self._fs.mkdirs(self._path(f"{self.at(name)}/{inner}").getParent())
+        self._swap(f"{self.at(name)}/{inner}", rows, None)
+
+    @staticmethod
+    def _beside(target: str) -> tuple[str, str]:
+        """Where a folder is staged and kept meanwhile; readers of the table pass over such names."""
+        parent, name = target.rsplit("/", 1)
+        return f"{parent}/.new-{name}", f"{parent}/.old-{name}"
+
+    def _swap(self, target: str, rows: DataFrame, by: list[str] | None) -> None:
+        new, old = self._beside(target)
         writer = rows.write.mode("overwrite")
-        (writer.partitionBy(*by) if by else writer).parquet(staged.toString())
-        self._fs.delete(old, True)
-        if self.exists(name):
-            self._fs.rename(self._path(self.at(name)), old)
-        self._fs.rename(staged, self._path(self.at(name)))
-        self._fs.delete(old, True)
-
-    def replace_partitions(self, name: str, rows: DataFrame, by: list[str]) -> None:
-        """Only the partitions that ``rows`` has, the others stay."""
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(self.at(name))
+        (writer.partitionBy(*by) if by else writer).parquet(new)
+        self._fs.delete(self._path(old), True)
+        if self._fs.exists(self._path(target)):
+            self._rename(target, old)
+        self._rename(new, target)
+        self._fs.delete(self._path(old), True)
+
+    def _rename(self, a: str, b: str) -> None:
+        if not self._fs.rename(self._path(a), self._path(b)):
+            raise OSError(f"{a} couldn't be renamed to {b}")
+
+    def _recover(self, name: str) -> None:
+        """Ends a replacement that died between its renames: the new folder if it is whole, else the old one."""
+        at = self.at(name)
+        for pattern in (self._beside(at)[1], f"{at}/.old-*", f"{at}/*/.old-*"):
+            for f in self._fs.globStatus(self._path(pattern)) or ():
+                parent, old = f.getPath().getParent().toString(), f.getPath().getName()
+                target = f"{parent}/{old.removeprefix('.old-')}"
+                new, _ = self._beside(target)
+                if self._fs.exists(self._path(target)):
+                    continue  # it died when only the old folder was left to be deleted
+                whole = self._fs.exists(self._path(f"{new}/_SUCCESS"))
+                self._rename(new if whole else f.getPath().toString(), target)
 
 
 def insert_ignore(existing: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -216,14 +250,21 @@ class Index:
     def vectors(self, number: int) -> DataFrame:
         return self.store.read(f"embeddings_v{number}", "content_hash string, embedding array<float>, created_at timestamp")
 
-    def embed_pending(self, provider: Provider, number: int) -> dict[str, int]:
-        """Embeds what has no vector yet; a run after it embeds nothing. Vectors are appended, none is changed."""
+    def embed_pending(self, provider: Provider, number: int, rows_per_commit: int = 1_000_000) -> dict[str, int]:
+        """Embeds what has no vector yet; a run after it embeds nothing. Vectors are appended, none is changed.
+
+        Every ``rows_per_commit`` texts are committed, so a run that died is taken up where it was.
+        """
         version = self.get(number)
         chunks = self.store.read("chunks").where((F.col("strategy") == version.strategy) & (F.col("params_hash") == version.params_hash))
-        todo = pending_embeddings(chunks, self.vectors(number))
+        todo = durable(pending_embeddings(chunks, self.vectors(number)))
         name = f"embeddings_v{number}"
         before = self.vectors(number).count()
-        self.store.append(name, embedded(todo, provider))
+        parts = max(1, -(-todo.count() // rows_per_commit))
+        for i in range(parts):
+            # each part is a commit of its own: a run that dies has lost one, and the next takes what is left
+            mine = todo.where(F.pmod(F.xxhash64("content_hash"), F.lit(parts)) == i) if parts > 1 else todo
+            self.store.append(name, embedded(mine, provider))
         count = chunks.agg(F.count_distinct("content_hash")).first()[0]
         done = F.col("index_version_id") == number
         self.store.replace(

@@ -8,8 +8,11 @@ arrives late, with a number below ones already done, is still a gap. Intervals a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -123,12 +126,14 @@ def pending_chunks(chunks: DataFrame, manifest: DataFrame, runs: DataFrame) -> D
 
 
 class IncrementalRun:
-    """A sink that processes each sequence number once, whatever fails in between.
-
-    A run writes its output and the merged intervals to folders of its own and then creates one marker
-    file; that creation is the commit, for both at once. A run that dies before leaves only folders that
-    nobody reads, and the next run takes the same gaps again. Two runs that race for the same number
-    can't both create its marker.
+    """A sink that processes each record once, and again when its content changes, whatever fails in between.
+
+    A run writes its output, what it saw and the merged intervals into a folder of its own, and then creates
+    one marker file under the next number, which names that folder and the commit that it followed; that
+    creation is the commit, for all at once. A run that dies before leaves only a folder that nobody reads,
+    and the next run takes the same gaps again. Of two runs that race for one number, one creates the marker
+    and the other fails with ``FileExistsError``; nothing of the loser is read. What counts are the markers
+    that are reached from the last one, so a marker that was created but never filled is passed over.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -139,32 +144,98 @@ class IncrementalRun:
     def _path(self, *parts):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.folder, *map(str, parts)]))
 
-    def commits(self) -> list[int]:
+    def _markers(self) -> dict[int, tuple[str, int]]:
+        """Per number the run's folder and the number that it followed, of markers that have both."""
         if not self._fs.exists(self._path("commits")):
-            return []
-        return sorted(int(f.getPath().getName()) for f in self._fs.listStatus(self._path("commits")))
+            return {}
+        out = {}
+        for f in self._fs.listStatus(self._path("commits")):
+            name = f.getPath().getName()
+            if name.isdigit():
+                stream = self._fs.open(f.getPath())
+                words = bytes(stream.readAllBytes()).decode().split()
+                stream.close()
+                if len(words) == 2:
+                    out[int(name)] = words[0], int(words[1])
+        return out
+
+    def _chain(self) -> list[tuple[int, str]]:
+        """The commits that count, in order, with their folders."""
+        known = self._markers()
+        chain, at = [], max(known, default=-1)
+        while at >= 0:
+            run, before = known[at]
+            chain.append((at, f"{self.folder}/runs/{run}"))
+            at = before
+        return chain[::-1]
+
+    def commits(self) -> list[int]:
+        return [n for n, _ in self._chain()]
 
     def processed(self) -> DataFrame:
-        done = self.commits()
-        if not done:
+        chain = self._chain()
+        if not chain:
             return self.spark.createDataFrame([], "block long, lo long, hi long")
-        return self.spark.read.parquet(f"{self.folder}/intervals/{done[-1]}")
+        return self.spark.read.parquet(f"{chain[-1][1]}/intervals")
 
     def output(self) -> DataFrame | None:
-        done = self.commits()
-        return self.spark.read.parquet(*[f"{self.folder}/output/{n}" for n in done]) if done else None
-
-    def run(self, records: DataFrame, column: str, process: Callable[[DataFrame], DataFrame]) -> int:
-        """Processes the gaps and commits; gives the number of the commit, or -1 if there was nothing."""
-        done = self.commits()
-        number = done[-1] + 1 if done else 0
-        gaps = subtract_intervals(to_intervals(records, column), self.processed())
-        gaps.write.mode("overwrite").parquet(f"{self.folder}/gaps/{number}")
-        gaps = self.spark.read.schema("block long, lo long, hi long").parquet(f"{self.folder}/gaps/{number}")
+        """All that was written; a record that changed has a result for each time that it was processed."""
+        chain = self._chain()
+        return self.spark.read.parquet(*[f"{at}/output" for _, at in chain]) if chain else None
+
+    def _seen(self, chain: list[tuple[int, str]]) -> DataFrame:
+        """``(n, version)``: the version that each number was last processed in."""
+        parts = [self.spark.read.parquet(f"{at}/seen").withColumn("commit", F.lit(n)) for n, at in chain]
+        every = reduce(DataFrame.unionByName, parts)
+        return every.groupBy("n").agg(F.max_by("version", "commit").alias("version"))
+
+    def run(self, records: DataFrame, column: str, process: Callable[[DataFrame], DataFrame], version: str | None = None) -> int:
+        """Processes what is new or changed and commits; gives the number of the commit, or -1 if there was nothing.
+
+        ``version`` names a column that changes with the content, a hash as a rule: a record whose version
+        isn't the one last processed under its number is taken again. Without it only new numbers count.
+        A null number can't be asked for and is left out.
+        """
+        chain = self._chain()
+        last = chain[-1][0] if chain else -1
+        own = f"{self.folder}/runs/{uuid.uuid4().hex}"
+        done = self.processed()
+        if version is not None and chain:
+            now = records.select(F.col(column).cast("long").alias("n"), F.col(version).cast("string").alias("now"))
+            changed = now.join(self._seen(chain), "n").where(~F.col("now").eqNullSafe(F.col("version")))
+            done = subtract_intervals(done, to_intervals(changed, "n"))
+        subtract_intervals(to_intervals(records, column), done).write.parquet(f"{own}/gaps")
+        gaps = self.spark.read.schema("block long, lo long, hi long").parquet(f"{own}/gaps")
         if gaps.isEmpty():
+            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(own), True)
             return -1
         todo = records.join(numbers_in(gaps, column), column, "left_semi")
-        process(todo).write.mode("overwrite").parquet(f"{self.folder}/output/{number}")
-        merge_intervals(self.processed(), gaps).write.mode("overwrite").parquet(f"{self.folder}/intervals/{number}")
-        self._fs.create(self._path("commits", number), False).close()
+        process(todo).write.parquet(f"{own}/output")
+        mark = F.col(version).cast("string") if version is not None else F.lit(None).cast("string")
+        todo.select(F.col(column).cast("long").alias("n"), mark.alias("version")).write.parquet(f"{own}/seen")
+        merge_intervals(self.processed(), gaps).write.parquet(f"{own}/intervals")
+        number = max([*self._numbers(), -1]) + 1
+        if (chain[-1:] or [(-1, "")]) != (self._chain()[-1:] or [(-1, "")]):
+            raise FileExistsError(f"another run committed after {last}")
+        self._claim(number, f"{own.rsplit('/', 1)[1]} {last}")
         return number
+
+    def _numbers(self) -> list[int]:
+        """Numbers that have a marker, filled or not."""
+        if not self._fs.exists(self._path("commits")):
+            return []
+        return [int(f.getPath().getName()) for f in self._fs.listStatus(self._path("commits")) if f.getPath().getName().isdigit()]
+
+    def _claim(self, number: int, text: str) -> None:
+        """Creates the marker, or fails if it is there."""
+        self._fs.mkdirs(self._path("commits"))
+        if self._fs.getUri().getScheme() == "file":  # Hadoop's local file system looks first and creates then
+            with open(self._fs.makeQualified(self._path("commits", number)).toUri().getPath(), "x") as f:
+                f.write(text)
+            return
+        try:
+            stream = self._fs.create(self._path("commits", number), False)
+        except Py4JJavaError as e:
+            raise FileExistsError(f"another run took number {number}") from e
+        stream.write(bytearray(text.encode()))
+        stream.close()

@@ -13,16 +13,19 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoints go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
-def local_session(name: str = "ledgerloom", cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
-    """A session on this machine, for tests and benchmarks."""
+def local_session(name: str = "ledgerloom", cores: int | str = 8, shuffle_partitions: int = 8, scan_partitions: int | None = None) -> SparkSession:
+    """A session on this machine, for tests and benchmarks, whose tables are one row group each."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     return (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config(SPREAD, str(scan_partitions or (cores if str(cores).isdigit() else 8)))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -59,24 +62,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-#: Bytes of a scan that may be dealt out again.
-SMALL = 256 << 20
+#: Setting of a session: the partitions that scans before costly functions are dealt out over. Unset, as on a
+#: cluster whose tables have many files and row groups, scans stay as they are.
+SPREAD = "spark.ledgerloom.scanPartitions"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt out evenly if it is a plain, small scan of fewer partitions than there are cores.
-
-    A small table in one row group would otherwise keep costly functions on one core. A table of more than
-    ``SMALL`` bytes or with as many partitions as cores, or a plan with a shuffle of its own, stays as it is.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    # of the files as they are; a plan's own estimate takes texts for short
-    if sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) > SMALL:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    plan = df._jdf.queryExecution().executedPlan()
-    if "AdaptiveSparkPlan" in plan.toString() or "Exchange" in plan.toString():
-        return df
-    if plan.execute().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    """``df``, dealt out over as many partitions as the session says; by default as it is."""
+    parts = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(parts)) if parts else df

@@ -9,7 +9,6 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable
-from pathlib import Path
 
 RETRIED = frozenset({429, 500, 502, 503, 504})
 MOST_RETRIES, LONGEST_WAIT = 5, 60.0
@@ -63,11 +62,10 @@ class Client:
     def json(self, url: str) -> dict:
         return json.loads(self.get(url))
 
-    def download(self, url: str, to: str) -> tuple[str, int]:
-        """Writes the bytes as they are; gives their SHA-256 and size."""
+    def download(self, url: str, to: str, write: Callable[[str, bytes], None]) -> tuple[str, int]:
+        """Has the bytes written as they are; gives their SHA-256 and size."""
         body = self.get(url)
-        Path(to).parent.mkdir(parents=True, exist_ok=True)
-        Path(to).write_bytes(body)
+        write(to, body)
         return hashlib.sha256(body).hexdigest(), len(body)
 
 

@@ -6,7 +6,7 @@ import os
 import re
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.html import decoded_text
@@ -31,6 +31,33 @@ def raw_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def present(spark: SparkSession, folder: str) -> DataFrame:
+    """``raw_path`` of the files below a folder; only names are listed. A folder that isn't there has none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "raw_path string")
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    return names.select(plain_path(F.col("path")).alias("raw_path"))
+
+
+def plain_path(path: Column) -> Column:
+    """Local paths without their scheme, others as they are."""
+    return F.regexp_replace(path, "^file:/*", "/")
+
+
+def write_file(spark: SparkSession, to: str, body: bytes) -> None:
+    """Writes a file of any file system that Spark knows; it's there whole or not at all."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    target, staged = path(to), path(f"{to}._part")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = fs.create(staged, True)
+    stream.write(bytearray(body))
+    stream.close()
+    fs.delete(target, False)
+    if not fs.rename(staged, target):
+        raise OSError(f"{to} couldn't be written")
+
+
 def golden(spark: SparkSession, path: str) -> DataFrame:
     """Golden questions from YAML, checked: ids unique, types known, and specifications just where one is to answer."""
     import yaml

@@ -88,3 +88,47 @@ def test_runs_commit_output_and_intervals_together(spark, tmp_path):
     assert run.run(more, "n", lambda d: d) == 1  # 3 came late, and isn't skipped
     assert sorted(map(tuple, run.output().select("n", "v").collect())) == [(1, "A"), (2, "B"), (3, "c"), (5, "E"), (9, "i")]
     assert numbers(inc.numbers_in(run.processed())) == [1, 2, 3, 5, 9]
+
+
+def test_changed_records_are_processed_again(spark, tmp_path):
+    run = inc.IncrementalRun(spark, str(tmp_path / "ledger"))
+    rows = lambda *x: spark.createDataFrame(list(x), "n long, v string")
+    assert run.run(rows((1, "a"), (2, "b"), (None, "x")), "n", lambda d: d, "v") == 0
+    assert run.run(rows((1, "a"), (2, "b")), "n", lambda d: d, "v") == -1
+    assert run.run(rows((1, "A"), (2, "b"), (4, "d")), "n", lambda d: d, "v") == 1
+    assert run.run(rows((1, "A"), (2, "b"), (4, "d")), "n", lambda d: d, "v") == -1
+    assert run.run(rows((1, "a"), (2, None)), "n", lambda d: d, "v") == 2
+    assert sorted(map(tuple, run.output().collect()), key=str) == [(1, "A"), (1, "a"), (1, "a"), (2, "b"), (2, None), (4, "d")]
+    assert numbers(inc.numbers_in(run.processed())) == [1, 2, 4]
+
+
+def test_racing_runs_and_deaths_lose_and_repeat_nothing(spark, tmp_path):
+    folder = str(tmp_path / "ledger")
+    one, two = inc.IncrementalRun(spark, folder), inc.IncrementalRun(spark, folder)
+    few, many = frame(spark, [0, 1]), frame(spark, [0, 1, 2, 3, 4])
+
+    def overtaken(todo):
+        assert two.run(many, "n", lambda d: d) == 0  # the other commits while this one works
+        return todo
+
+    with pytest.raises(FileExistsError):
+        one.run(few, "n", overtaken)
+    assert numbers(one.output()) == [0, 1, 2, 3, 4] and one.run(many, "n", lambda d: d) == -1
+    more = frame(spark, [0, 1, 2, 3, 4, 5, 9])
+    for step in ("process", "_numbers", "_claim"):
+        dying = inc.IncrementalRun(spark, folder)
+
+        def dies(*_):
+            raise RuntimeError("died")
+
+        if step != "process":
+            setattr(dying, step, dies)
+        with pytest.raises(RuntimeError):
+            dying.run(more, "n", dies if step == "process" else lambda d: d)
+        assert numbers(one.output()) == [0, 1, 2, 3, 4]
+    # a marker without content is of a run that died while it committed
+    (tmp_path / "ledger" / "commits" / "1").touch()
+    assert one.run(more, "n", lambda d: d) == 2 and one.commits() == [0, 2]
+    assert numbers(one.output()) == [0, 1, 2, 3, 4, 5, 9]
+    with pytest.raises(FileExistsError):
+        one._claim(2, "x 0")

@@ -58,11 +58,46 @@ def test_store_upsert_and_embedding_twice(spark, tmp_path):
     new = spark.createDataFrame([("b", 9, "z"), ("c", 3, "w")], "k string, n int, name string")
     assert sorted(map(tuple, catalog.upsert(old, new, "k", ["n"]).collect())) == [("a", 1, "x"), ("b", 9, "y"), ("c", 3, "w")]
     assert [r.k for r in catalog.insert_ignore(old, new, ["k"]).collect()] == ["c"]
-    store.replace_partitions("t", spark.createDataFrame([(1, "p"), (2, "q")], "n int, part string"), ["part"])
-    store.replace_partitions("t", spark.createDataFrame([(5, "p")], "n int, part string"), ["part"])
+    store.append("t", spark.createDataFrame([(1, "p"), (2, "q")], "n int, part string"), ["part"])
+    store.replace_partition("t", {"part": "p"}, spark.createDataFrame([(5,)], "n int"))
     assert sorted((r.n, r.part) for r in store.read("t").collect()) == [(2, "q"), (5, "p")]
 
 
+@pytest.mark.parametrize("dies_at", range(4))
+def test_a_replacement_that_dies_is_ended_by_the_next_reader(spark, tmp_path, dies_at):
+    store = catalog.Store(spark, str(tmp_path))
+    store.replace("t", spark.range(10))
+    store.append("p", spark.createDataFrame([(1, "a"), (2, "b")], "n int, part string"), ["part"])
+    steps = [0]
+
+    class Dying:
+        """The file system, which fails at one of the deletions and renames."""
+
+        def __getattr__(self, name):
+            def call(*args):
+                if name in ("rename", "delete"):
+                    steps[0] += 1
+                    if steps[0] == dies_at + 1:
+                        raise RuntimeError("died")
+                return getattr(fs, name)(*args)
+
+            return call
+
+    fs, dying = store._fs, catalog.Store(spark, str(tmp_path))
+    dying._fs = Dying()
+    with pytest.raises(RuntimeError):
+        dying.replace("t", spark.range(3))
+    rows = catalog.Store(spark, str(tmp_path)).read("t", "id long").count()
+    assert rows == (10 if dies_at < 2 else 3)
+    steps[0] = 0
+    with pytest.raises(RuntimeError):
+        dying.replace_partition("p", {"part": "a"}, spark.createDataFrame([(7,)], "n int"))
+    assert sorted((r.n, r.part) for r in store.read("p").collect()) == [(1 if dies_at < 2 else 7, "a"), (2, "b")] or dies_at >= 2
+    assert sorted((r.n, r.part) for r in store.read("p").collect()) in ([(1, "a"), (2, "b")], [(2, "b"), (7, "a")])
+    store.replace("t", store.read("t").limit(2))
+    assert store.read("t").count() == 2
+
+
 def test_select_and_classify_filings(spark, tmp_path):
     path = tmp_path / "s.json"
     path.write_text('{"cik": 7, "name": "Mini", "filings": {"recent": {"accessionNumber": ["a1","a2","a3","a4","a5"], "form": ["10-K","10-q","8-K","10-K","10-Q"], "filingDate": ["2025-01-31","2024-10-01","2024-09-01","2024-01-31","2024-07-01"], "reportDate": ["2024-12-31","","","2023-12-31","2024-06-30"], "primaryDocument": ["a.htm","b.htm","c.htm","d.htm","e.htm"]}}}')
@@ -95,11 +130,12 @@ def test_golden_and_settings(tmp_path, spark):
     assert row.text == "é" and row.size_bytes == 1
 
 
-def test_client_retries(tmp_path):
+def test_client_retries():
     answers = iter([(503, {}, b""), (429, {"Retry-After": "99"}, b""), (200, {}, b"ok")])
     waits = []
     c = client.Client("me me@x.example", 1000, lambda u, h: next(answers), waits.append)
-    assert c.download("u", str(tmp_path / "f"))[1] == 2 and max(waits) == 60
+    put = {}
+    assert c.download("u", "f", put.__setitem__)[1] == 2 and max(waits) == 60 and put == {"f": b"ok"}
     with pytest.raises(urllib.error.HTTPError):
         client.Client("m", 1000, lambda u, h: (404, {}, b""), waits.append).get("u")
     tries = []

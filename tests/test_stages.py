@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import functions as F
+
 from ledgerloom.operators import catalog, chunking, pipeline
 from ledgerloom.sources import client, files
 
@@ -29,6 +31,13 @@ def test_ingest_chunk_embed_and_again(spark, tmp_path):
     before = {r.chunk_id: r.content_hash for r in store.read("chunks").collect()}
     assert pipeline.chunk_documents(store, docs, strategies[:1], force=True) == {"fixed": first["fixed"]}
     assert {r.chunk_id: r.content_hash for r in store.read("chunks").collect()} == before
+    # forcing one document leaves the chunks of the other
+    part = docs.where("accession_no = '0-25-1'")
+    pipeline.chunk_documents(store, part.withColumn("text", F.lit("short " * 30)), strategies[:1], force=True)
+    sizes = {r.document_id: r.n for r in store.read("chunks").where("strategy = 'fixed'").groupBy("document_id").agg(F.count("*").alias("n")).collect()}
+    assert sizes["0-25-1"] == 1 and sizes["0-24-2"] == first["fixed"] // 2
+    pipeline.chunk_documents(store, part, strategies[:1], force=True)
+    assert {r.chunk_id: r.content_hash for r in store.read("chunks").collect()} == before
     labels = {r.section for r in store.read("chunks").where("strategy = 'section_aware'").collect()}
     assert labels == {"Item 1. Business", "Item 1A. Risk Factors"}
 
