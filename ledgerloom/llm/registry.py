@@ -51,8 +51,14 @@ def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
     return classes.select(*SET, F.col("class_first").alias("chunk_id"), F.col("class_copies").alias("copies")).distinct()
 
 
-def _daily(spark: SparkSession, folder: str) -> DataFrame:
-    return percentiles.sketches(percentiles.valid_runs(table(spark, folder, "query_runs")), ["day", "route", "mode"], "latency_ms")
+def _daily(spark: SparkSession, folder: str, *by: str) -> DataFrame:
+    return percentiles.sketches(percentiles.valid_runs(table(spark, folder, "query_runs")), ["day", *by, "route", "mode"], "latency_ms")
+
+
+def p2_by_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles of each question's runs, from the sketches of its days."""
+    whole = percentiles.merged(_daily(spark, folder, "query"), ["query", "route", "mode"])
+    return percentiles.percentiles(whole, ["query", "route", "mode"], {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
 
 
 def p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,6 +112,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p2_by_query": p2_by_query,
     "p2_percentiles": p2_percentiles,
     "p2_daily": p2_daily,
     "p3_found": p3_found,
