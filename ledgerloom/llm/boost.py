@@ -6,10 +6,11 @@ import numpy as np
 
 
 class Boosted:
-    """``rounds`` trees of ``depth`` levels, fitted with second-order steps."""
+    """``rounds`` trees of ``depth`` levels, fitted with second-order steps, each on a share of the columns."""
 
-    def __init__(self, rounds: int = 60, depth: int = 4, rate: float = 0.3, bins: int = 32, ridge: float = 1.0):
+    def __init__(self, rounds: int = 60, depth: int = 4, rate: float = 0.3, bins: int = 32, ridge: float = 1.0, columns: float = 1.0, seed: int = 1):
         self.rounds, self.depth, self.rate, self.bins, self.ridge = rounds, depth, rate, bins, ridge
+        self.columns, self.rng = columns, np.random.default_rng(seed)
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.base = 0.0
 
@@ -27,28 +28,27 @@ class Boosted:
 
     def _grow(self, binned: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> np.ndarray:
         inner = 2**self.depth - 1
-        feature, cut, value = np.zeros(inner, int), np.full(inner, np.inf), np.zeros(2**self.depth)
+        feature, cut = np.zeros(inner, int), np.full(inner, np.inf)
         node = np.zeros(len(grad), int)
+        tried = np.sort(self.rng.permutation(len(self.edges))[: max(1, round(self.columns * len(self.edges)))])
         for level in range(self.depth):
-            first = 2**level - 1
-            for t in range(first, 2 ** (level + 1) - 1):
-                mine = np.flatnonzero(node == t)
-                if not len(mine):
+            first, many = 2**level - 1, 2**level
+            own = node - first
+            g_all, h_all = (np.bincount(own, x, many) for x in (grad, hess))
+            whole, best = g_all**2 / (h_all + self.ridge), np.full(many, 1e-6)
+            for j in tried:
+                edges = self.edges[j]
+                if not len(edges):
                     continue
-                g, h = grad[mine], hess[mine]
-                whole, best = g.sum() ** 2 / (h.sum() + self.ridge), 1e-6
-                for j, edges in enumerate(self.edges):
-                    if not len(edges):
-                        continue
-                    b = binned[mine, j]
-                    left_g = np.cumsum(np.bincount(b, g, len(edges) + 1))[:-1]
-                    left_h = np.cumsum(np.bincount(b, h, len(edges) + 1))[:-1]
-                    gain = left_g**2 / (left_h + self.ridge) + (g.sum() - left_g) ** 2 / (h.sum() - left_h + self.ridge) - whole
-                    k = int(np.argmax(gain))
-                    if gain[k] > best:
-                        best, feature[t], cut[t] = gain[k], j, k
-            at = np.flatnonzero(node >= first)
-            node[at] = 2 * node[at] + 1 + (binned[at, feature[node[at]]] > cut[node[at]])
+                bins = len(edges) + 1
+                at = own * bins + binned[:, j]
+                left_g, left_h = (np.cumsum(np.bincount(at, x, many * bins).reshape(many, bins), axis=1)[:, :-1] for x in (grad, hess))
+                gain = left_g**2 / (left_h + self.ridge) + (g_all[:, None] - left_g) ** 2 / (h_all[:, None] - left_h + self.ridge) - whole[:, None]
+                k = np.argmax(gain, axis=1)
+                top = gain[np.arange(many), k]
+                better = np.flatnonzero(top > best)
+                best[better], feature[first + better], cut[first + better] = top[better], j, k[better]
+            node = 2 * node + 1 + (binned[np.arange(len(node)), feature[node]] > cut[node])
         leaf = node - inner
         value = self.rate * np.bincount(leaf, grad, 2**self.depth) / (np.bincount(leaf, hess, 2**self.depth) + self.ridge)
         real = np.array([self.edges[f][int(c)] if np.isfinite(c) else np.inf for f, c in zip(feature, cut, strict=True)])
