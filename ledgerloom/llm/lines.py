@@ -1,21 +1,25 @@
 """Lines repeated across the documents of one source, found by compressed bitmaps.
 
-A line's documents within a source are a bitmap of document numbers, kept sparse: one row for each
-64-bit word that has a bit set. Setting a bit, and joining the bitmaps of lines that differ only in
-writing, is ``bit_or`` in a hash aggregate; a cardinality is the sum of the words' bit counts. So no
-bitmap is ever one object in memory, however many documents share a line.
+A line's documents within a source are a bitmap of document numbers, kept as containers of 4096 numbers each:
+the sorted positions that are set, or where those are many, 64 words of 64 bits. Every way of writing a line
+has its own containers; those of ways that fold alike are united, and a cardinality is the sum over
+containers. Lines come off a document by looking up its bit in the containers of the frequent lines. No bitmap
+is ever one object in memory, however many documents share a line. Numbers are dense within a source, so that
+containers are as full as they can be.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.text import folded
 from ledgerloom.session import durable, spread
 
-#: Rows of one line are spread over so many partitions, by the words of its bitmap.
-SPREAD = 16
+#: Bits of a document's number within a container, and positions from which words take less room.
+BITS, DENSE = 12, 256
+#: Parts of a source within which documents are numbered in order.
+PARTS = 256
 KEY = ("source", "line_a", "line_b")
 
 
@@ -24,28 +28,57 @@ def _key(fold) -> list:
 
 
 def keyed_lines(texts: DataFrame, least_chars: int) -> DataFrame:
-    """``(line_a, line_b, line_no)`` of each line that is long enough, with the other columns of ``texts`` but ``text``.
+    """``(line_a, line_b, variant, line_no)`` of each line that is long enough, with the other columns of ``texts`` but ``text``.
 
-    The two hashes are of the folded line, 128 bits together.
+    The first two hashes are of the folded line, 128 bits together; ``variant`` is of the line as it stands.
     """
     kept = [c for c in texts.columns if c != "text"]
     # folded before lines become rows: a condition on the folded line would else fold it once more
-    fold = lambda x, i: F.struct((i + 1).alias("line_no"), F.when(F.length(x) >= least_chars, folded(x)).alias("fold"))
+    fold = lambda x, i: F.struct((i + 1).alias("line_no"), F.xxhash64(x).alias("variant"), F.when(F.length(x) >= least_chars, folded(x)).alias("fold"))
     long = F.filter(F.transform(F.split("text", "\n"), fold), lambda x: F.length(x.fold) >= least_chars)
     lines = texts.select(*kept, F.explode(long).alias("_line"))
-    return lines.select(*kept, *_key(F.col("_line.fold")), "_line.line_no")
+    return lines.select(*kept, *_key(F.col("_line.fold")), "_line.variant", "_line.line_no")
 
 
-def with_bits(lines: DataFrame) -> DataFrame:
-    """With ``word`` and ``bit`` of each line's document in a bitmap, and the ``part`` that the word is in."""
-    word = F.shiftright("doc_no", 6)
-    part = F.pmod(F.xxhash64(word), F.lit(SPREAD)).cast("int")
-    return lines.select("source", "line_a", "line_b", part.alias("part"), word.alias("word"), F.expr("shiftleft(1L, cast(doc_no & 63 as int))").alias("bit"), "item", "line_no")
+def with_places(lines: DataFrame) -> DataFrame:
+    """With the ``chunk`` of each line's document, which is its container's number, and its ``pos`` in there."""
+    pos = F.col("doc_no").bitwiseAND((1 << BITS) - 1).cast("smallint")
+    return lines.select(*KEY, "variant", F.shiftright("doc_no", BITS).alias("chunk"), pos.alias("pos"), "item", "line_no")
 
 
-def bitmaps(lines: DataFrame) -> DataFrame:
-    """The words of each line's bitmap, the bitmaps of its variants joined."""
-    return lines.groupBy(*KEY, "part", "word").agg(F.bit_or("bit").alias("bits"))
+def _dense(positions: Column) -> Column:
+    """Positions as 64 words."""
+    word = lambda w: F.aggregate(F.filter(positions, lambda p: F.shiftright(p.cast("int"), 6) == w), F.lit(0).cast("long"), lambda s, p: s.bitwiseOR(_power(p)))
+    return F.transform(F.sequence(F.lit(0), F.lit((1 << BITS) // 64 - 1)), word)
+
+
+def _power(p: Column) -> Column:
+    """The bit of a position in its word."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), p.cast("int").bitwiseAND(63))
+
+
+def containers(lines: DataFrame, least_documents: int = 1) -> DataFrame:
+    """``(*KEY, chunk, positions, words)`` of the lines with enough documents; one of the last two is null.
+
+    A container has at most 4096 positions. Containers of a line are counted together in one task, one row for
+    every 4096 documents that may have it.
+    """
+    own = lines.groupBy(*KEY, "variant", "chunk").agg(F.collect_set("pos").alias("pos"))
+    # one exchange for the union and for the count
+    united = own.repartition(*KEY).groupBy(*KEY, "chunk").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("pos")))).alias("pos"))
+    total = F.sum(F.size("pos")).over(Window.partitionBy(*KEY))
+    often = united.withColumn("documents", total).where(F.col("documents") >= least_documents)
+    many = F.size("pos") > DENSE
+    return often.select(*KEY, "chunk", F.when(~many, F.col("pos")).alias("positions"), F.when(many, _dense(F.col("pos"))).alias("words"))
+
+
+def bitmap_bytes(bitmaps: DataFrame) -> DataFrame:
+    """One row: ``documents`` that are set in all, and the ``bytes`` that positions and words take."""
+    bits = F.aggregate("words", F.lit(0), lambda s, w: s + F.bit_count(w))
+    sparse = F.col("positions").isNotNull()
+    count = F.when(sparse, F.size("positions")).otherwise(bits)
+    size = F.when(sparse, 2 * F.size("positions")).otherwise(8 * F.size("words"))
+    return bitmaps.agg(F.sum(count).alias("documents"), F.sum(size).alias("bytes"))
 
 
 def repeated_lines(
@@ -64,16 +97,14 @@ def repeated_lines(
     lines = keyed_lines(texts.select("item", "text", *known).where("text is not null"), least_chars)
     if documents is not None:
         lines = lines.join(documents, "document")
-    lines = durable(with_bits(lines.where("source is not null and doc_no is not null")))
-    words = bitmaps(lines)
-    count = F.sum(F.bit_count("bits")).alias("documents")
-    often = words.groupBy(*KEY).agg(count).where(F.col("documents") >= least_documents).select(*KEY)
+    lines = durable(with_places(lines.where("source is not null and doc_no is not null")))
+    often = containers(lines, least_documents)
     if except_texts is not None:
         distinct = except_texts.toDF("text").where("text is not null").distinct()
         often = often.join(distinct.select(*_key(folded(F.col("text")))), ["line_a", "line_b"], "left_anti")
-    # a line's own document is always set in its bitmap, so a join by the key stands for looking it up
-    parts = often.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    return lines.join(parts, [*KEY, "part"], "left_semi").select("item", "line_no")
+    both = lines.join(often, [*KEY, "chunk"])
+    bit = F.element_at("words", F.shiftright(F.col("pos").cast("int"), 6) + 1).bitwiseAND(_power(F.col("pos"))) != 0
+    return both.where(F.coalesce(F.array_contains("positions", F.col("pos")), bit)).select("item", "line_no")
 
 
 def without_lines(texts: DataFrame, key: str, text: str, found: DataFrame) -> DataFrame:
@@ -91,9 +122,14 @@ def chunk_texts(chunks: DataFrame) -> DataFrame:
 
 
 def filings(documents: DataFrame) -> DataFrame:
-    """``(document, source, doc_no)``: the source is the company, ``cik`` as a number.
+    """``(document, source, doc_no)``: the source is the company, ``cik`` as a number; numbers are dense within it.
 
-    A filing delivered again counts once, by its smallest ``doc_id``.
+    A filing delivered again counts once. Documents are put in order within parts of their source, and parts
+    one after the other, so no task orders a whole source.
     """
     cik = F.regexp_replace("cik", "[^0-9]", "").cast("bigint")
-    return documents.groupBy(F.col("accession_no").alias("document")).agg(F.min(cik).alias("source"), F.min("doc_id").alias("doc_no"))
+    each = documents.groupBy(F.col("accession_no").alias("document")).agg(F.min(cik).alias("source")).withColumn("part", F.pmod(F.xxhash64("document"), F.lit(PARTS)))
+    sizes = each.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("source", "part", (F.sum("n").over(Window.partitionBy("source").orderBy("part")) - F.col("n")).alias("before"))
+    placed = each.withColumn("nth", F.row_number().over(Window.partitionBy("source", "part").orderBy("document")))
+    return placed.join(before, ["source", "part"]).select("document", "source", (F.col("before") + F.col("nth") - 1).alias("doc_no"))

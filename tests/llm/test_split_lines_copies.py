@@ -103,6 +103,31 @@ def test_bitmaps_count_documents_once(spark):
     assert lines.repeated_lines(df, 4, 16).count() == 6 and lines.repeated_lines(df, 5, 16).count() == 0
 
 
+def test_containers_hold_each_document_once(spark):
+    # one line in 3000 documents of one source, in three ways of writing, and one in 7
+    rows = [(i, 1, i // 2, ["A line of many documents", "A LINE of many documents", "a line, of many documents!"][i % 3]) for i in range(6000)]
+    rows += [(9000 + i, 1, 4090 + i, "Another line of a few documents") for i in range(7)]
+    df = spark.createDataFrame(rows, "item long, source long, doc_no long, text string")
+    keyed = lines.with_places(lines.keyed_lines(df, 16))
+    made = lines.containers(keyed, 6)
+    kinds = sorted((r.chunk, r.positions is not None, r.words is not None) for r in made.collect())
+    assert kinds == [(0, False, True), (0, True, False), (1, True, False)]
+    total = lines.bitmap_bytes(made).first()
+    assert total.documents == 3007 and total.bytes == 64 * 8 + 14
+    dense = made.where("words is not null").first().words
+    assert [i for i in range(4096) if dense[i // 64] >> (i % 64) & 1] == list(range(3000))
+    assert lines.repeated_lines(df, 7, 16).count() == 6007 and lines.repeated_lines(df, 8, 16).count() == 6000
+
+
+def test_numbers_are_dense_within_a_source(spark):
+    rows = [(i, f"d{i // 2}", "7" if i < 900 else None if i > 995 else "08") for i in range(1000)]
+    got = lines.filings(spark.createDataFrame(rows, "doc_id long, accession_no string, cik string")).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.source].append(r.doc_no)
+    assert sorted(by[7]) == list(range(450)) and sorted(by[8]) == list(range(48)) and None not in by
+
+
 def brute_copies(rows):
     import re
 
