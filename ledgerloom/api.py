@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from functools import cached_property
 
@@ -48,13 +49,20 @@ class Engine:
     def _with_vectors(self, questions: DataFrame) -> DataFrame:
         return questions.withColumn("vector", self.vectors(F.col("query")))
 
+    def company_number(self, company: str) -> str:
+        """The number of a company that is named by one of its spellings or by its number; else what was given."""
+        asked = self.documents.sparkSession.createDataFrame([(company,)], "name string")
+        found = routing.resolved(asked, self.aliases).first().company
+        return str(int(found)) if found.isdigit() else found
+
     def search(self, questions: DataFrame, k: int = 10, mode: str = "hybrid", company: str | None = None, form_type: str | None = None, after: bool = False) -> DataFrame:
         """The best chunks of each question, with their filing; ``k`` is held within 1 and 20.
 
-        A company is a filter of the search. A form is one too, or with ``after`` one of its result, which
+        A company, by name or number, is a filter of the search. A form is one too, or with ``after`` one of its result, which
         may then have fewer rows than ``k``.
         """
         k = max(1, min(MOST_HITS, k))
+        company = None if company is None else self.company_number(company)
         legs = s.single_legs(self._with_vectors(questions)).withColumn("company", F.lit(company).cast("string"))
         corpus = self.corpus if form_type is None or after else self.corpus.where(F.col("form_type") == form_type.upper())
         hits = s.search(corpus, legs, k, mode).join(self.corpus.select("chunk_id", "company", "form_type", "document_id", "section", "text"), "chunk_id")
@@ -79,6 +87,13 @@ class Engine:
         planned = durable(planned)  # legs are read from it several times
         return planned, self._retrieved(planned, k, mode)
 
+    def ask_logged(self, store: catalog.Store, questions: DataFrame, k: int = 10, mode: str = "hybrid", version: int = 1) -> DataFrame:
+        """``ask``, with a run appended to the log for each question, answered or refused."""
+        began = time.perf_counter()
+        answers = durable(self.ask(questions, k, mode))
+        catalog.log_runs(store, questions, answers, version, mode, 1000 * (time.perf_counter() - began))
+        return answers
+
     def ask(self, questions: DataFrame, k: int = 10, mode: str = "hybrid") -> DataFrame:
         """``(question_id, route, rewritten, refused, reason, answer, citations, retrieved_chunk_ids, scores, top_vector_score)``.
 
@@ -141,11 +156,23 @@ def compare(engines: dict[str, Engine], modes: list[str], questions: DataFrame,
     return out
 
 
+STAGES = [("ingest", "parse"), ("parse", "chunk"), ("chunk", "embed"), ("embed", "plan"), ("plan", "retrieve"), ("retrieve", "grade"), ("grade", "answer"), ("grade", "rewrite once"), ("rewrite once", "retrieve"), ("grade", "refuse"), ("answer", "log"), ("refuse", "log")]
+
+
+def graph() -> str:
+    """The stages of a build and of a question as a Mermaid graph."""
+    names = {n: f"s{i}" for i, n in enumerate(dict.fromkeys(x for pair in STAGES for x in pair))}
+    return "\n".join(["graph TD", *(f"  {names[a]}[{a}] --> {names[b]}[{b}]" for a, b in STAGES), ""])
+
+
 def report(name: str, judgments: DataFrame, types: list[str]) -> str:
-    """An evaluation as Markdown: metrics, recall by type, the sweep and the misses."""
+    """An evaluation as Markdown: metrics, latency where it was measured, recall by type, the sweep and the misses."""
     judgments = durable(judgments)
     total = evaluation.summary(judgments).first().asDict()
     lines = [f"# Evaluation: {name}", "", "| metric | value |", "|---|---|", *(f"| {k} | {v:.4g} |" for k, v in total.items())]
+    if "latency_ms" in judgments.columns and (spent := evaluation.latencies(judgments.withColumn("all", F.lit(1)), ["all"]).first()):
+        lines += [f"| p50_ms | {spent.p50:.4g} |", f"| p95_ms | {spent.p95:.4g} |"]
+    lines += ["", "Cost: none, no model is called."]
     kinds = evaluation.by_type(judgments, types).first().asDict()
     lines += ["", "## recall@5 by type", "", "| type | recall@5 |", "|---|---|", *(f"| {k} | {'-' if v is None else f'{v:.2f}'} |" for k, v in kinds.items())]
     lines += ["", "## Refusal by threshold", "", "| threshold | precision | recall |", "|---|---|---|"]

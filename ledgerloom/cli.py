@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import ledgerloom
-from ledgerloom.api import Engine, report
+from ledgerloom.api import Engine, graph, report
 from ledgerloom.functions import columns as fn
 from ledgerloom.functions import sections
 from ledgerloom.operators import catalog, chunking, evaluation, pipeline
@@ -20,8 +20,8 @@ from ledgerloom.sources import files
 from ledgerloom.sources.client import Client
 
 
-def _show(df: DataFrame, most: int = 1000) -> None:
-    for row in df.limit(most).toJSON().toLocalIterator():
+def _show(df: DataFrame) -> None:
+    for row in df.toJSON().toLocalIterator():
         print(row)
 
 
@@ -30,7 +30,7 @@ def main(argv: list[str] | None = None) -> int:
     top.add_argument("--data", default="data")
     top.add_argument("--index", type=int, default=1, help="index version")
     sub = top.add_subparsers(dest="command", required=True)
-    for name in ("version", "check", "companies", "index-versions", "parse-report"):
+    for name in ("version", "check", "companies", "index-versions", "parse-report", "export-graph"):
         sub.add_parser(name)
     for name in ("query", "ask"):
         p = sub.add_parser(name)
@@ -57,6 +57,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--limit", type=int, default=2)
     p = sub.add_parser("serve")
     p.add_argument("--port", type=int, default=8000)
+    p.add_argument("--log", required=True, help="folder that runs are logged in")
     for name in ("eval", "check-golden"):
         p = sub.add_parser(name)
         p.add_argument("golden")
@@ -67,6 +68,9 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "version":
         print(ledgerloom.__version__)
         return 0
+    if args.command == "export-graph":
+        print(graph())
+        return 0
     spark = local_session()
     read = lambda name: table(spark, args.data, name)
     engine = lambda: Engine.over(spark, args.data, lambda q: fn.nibbles(q, 64), args.index)
@@ -99,7 +103,7 @@ def main(argv: list[str] | None = None) -> int:
         found = files.submissions(spark, args.submissions)
         print(json.dumps(pipeline.ingest(catalog.Store(spark, args.data), web, found, args.base, args.raw, args.form or ["10-K", "10-Q"], args.limit)))
     elif args.command == "serve":
-        serve(Service(spark, engine(), read("query_runs")), port=args.port).serve_forever()
+        serve(Service(spark, engine(), read("query_runs"), store=catalog.Store(spark, args.log)), port=args.port).serve_forever()
     elif args.command == "embed":
         index, provider = catalog.Index(catalog.Store(spark, args.data)), catalog.HashProvider(32)
         print(json.dumps(index.embed_pending(provider, index.get_or_create(provider, args.strategy, args.params_hash))))

@@ -87,6 +87,11 @@ def byte_vector(text: Column, size: int = 8) -> Column:
     return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(x))
 
 
+def vector_text(vector: Column) -> Column:
+    """A vector as text with eight decimals."""
+    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: F.format_string("%.8f", x.cast("double"))), ","), F.lit("]"))
+
+
 def cosine(x: Column, y: Column) -> Column:
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s.cast("double") * t.cast("double")), F.lit(0.0), lambda s, t: s + t)
     return dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))

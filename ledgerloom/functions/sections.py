@@ -29,12 +29,16 @@ def detect_sections(documents: DataFrame, key: str = "doc_id", text: str = "text
         F.split(text, "\n").alias("lines"),
     )
     # only lines that may be headings leave their row, so texts aren't shuffled
-    numbered = F.transform("lines", lambda x, i: F.struct(i.alias("nth"), x.alias("line")))
-    maybe = F.filter(numbered, lambda h: h.line.rlike(r"(?i)^[\s\x{a0}]*(?:part|item)\s"))
-    heads = rows.withColumn("h", F.explode(maybe)).select("key", "in_parts", "size", "h.nth", "h.line", "lines")
-    # the characters of the lines before, with a line feed after each
-    before = F.length(F.array_join(F.slice("lines", 1, F.col("nth")), "\n")) + F.when(F.col("nth") > 0, 1).otherwise(0)
-    lines = heads.withColumn("start", before).drop("lines")
+    # one walk along the lines keeps the characters before, with a line feed after each
+    none = F.array().cast("array<struct<nth:int,start:int,line:string>>")
+    zero = F.struct(F.lit(0).alias("nth"), F.lit(0).alias("start"), none.alias("heads"))
+
+    def walk(done, line):
+        head = F.array(F.struct(done.nth.alias("nth"), done.start.alias("start"), line.alias("line")))
+        heads = F.when(line.rlike(r"(?i)^[\s\x{a0}]*(?:part|item)\s"), F.concat(done.heads, head)).otherwise(done.heads)
+        return F.struct((done.nth + 1).alias("nth"), (done.start + F.length(line) + 1).alias("start"), heads.alias("heads"))
+
+    lines = rows.select("key", "in_parts", "size", F.explode(F.aggregate("lines", zero, walk, lambda done: done.heads)).alias("h")).select("key", "in_parts", "size", "h.nth", "h.start", "h.line")
     inside = Window.partitionBy("key").orderBy("nth")
     bare = F.trim(F.regexp_replace("line", r"^[\s\x{a0}]+|[\s\x{a0}]+$", ""))
     toc = bare.contains("|") & F.trim(F.element_at(F.split(bare, r"\|"), -1)).rlike(r"^\d{1,3}$")
@@ -61,13 +65,23 @@ def detect_sections(documents: DataFrame, key: str = "doc_id", text: str = "text
     )
 
 
-def hit_rate(documents: DataFrame, sections: DataFrame, key: str = "doc_id", form: str = "form_type") -> DataFrame:
-    """Per form with expected sections: documents, expected and found keys, and their ratio."""
+def _wanted(documents: DataFrame, sections: DataFrame, key: str, form: str) -> DataFrame:
+    """Documents of forms with expected sections, with ``form``, ``wanted`` and ``found``."""
     table = F.create_map(*[x for f, keys in EXPECTED.items() for x in (F.lit(f), F.array(*map(F.lit, keys)))])
-    name = F.upper(F.trim(form))
-    wanted = documents.select(key, name.alias("form"), F.try_element_at(table, name).alias("wanted")).where("wanted is not null")
+    wanted = documents.select(key, F.upper(F.trim(form)).alias("form")).withColumn("wanted", F.try_element_at(table, F.col("form"))).where("wanted is not null")
     found = sections.groupBy(key).agg(F.collect_set("section_key").alias("found"))
-    both = wanted.join(found, key, "left").withColumn("hit", F.array_intersect("wanted", F.coalesce("found", F.array().cast("array<string>"))))
+    return wanted.join(found, key, "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
+
+
+def missing(documents: DataFrame, sections: DataFrame, key: str = "doc_id", form: str = "form_type") -> DataFrame:
+    """``(key, form, missing)``: the expected sections that a document lacks, for those that lack any."""
+    rows = _wanted(documents, sections, key, form).withColumn("missing", F.array_except("wanted", "found"))
+    return rows.where(F.size("missing") > 0).select(key, "form", "missing")
+
+
+def hit_rate(documents: DataFrame, sections: DataFrame, key: str = "doc_id", form: str = "form_type") -> DataFrame:
+    """Per form with expected sections: documents, expected and found keys, and their ratio."""
+    both = _wanted(documents, sections, key, form).withColumn("hit", F.array_intersect("wanted", "found"))
     return both.groupBy("form").agg(
         F.count(F.lit(1)).alias("documents"),
         F.sum(F.size("wanted")).alias("expected"),

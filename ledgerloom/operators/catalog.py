@@ -242,7 +242,7 @@ class Index:
         return number
 
     def get(self, number: int):
-        row = self.versions().where(F.col("index_version_id") == number).first()
+        row = version(self.versions(), number).first()
         if row is None:
             raise LookupError(f"no index version {number}")
         return row
@@ -326,6 +326,11 @@ def latest_ready(versions: DataFrame) -> DataFrame:
     return versions.where("status = 'ready'").orderBy(F.desc("created_at"), F.desc("index_version_id")).limit(1)
 
 
+def version(versions: DataFrame, number: int) -> DataFrame:
+    """One version's row, or none."""
+    return versions.where(F.col("index_version_id") == number)
+
+
 def version_counts(versions: DataFrame, vectors: dict[int, DataFrame]) -> DataFrame:
     """The versions with the number of vectors of each, 0 where there is no table."""
     out = None

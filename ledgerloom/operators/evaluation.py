@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import quantiles
+
 DEPTH = 10
 
 
@@ -35,34 +40,98 @@ def lowered(df: DataFrame, text: str, name: str) -> DataFrame:
     return df.withColumn(name, F.lower(text))
 
 
-def _sides(specs: DataFrame, chunks: DataFrame) -> DataFrame:
-    return lowered(chunks, "text", "low").alias("c").join(F.broadcast(lowered(bounded(specs), "must_contain", "needle")).alias("s"), matches())
+#: Specifications without a field to join by that one block may hold; with more the chunks are read once for each block.
+BLOCK = 100_000
+
+
+def pairs(specs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(spec_id, chunk_id)``: the chunks that each specification matches.
+
+    A specification that names a filing or else a company is joined by it; the others are looked for by an
+    automaton of their words and a table of their prefixes, all of a block in one pass over the chunks.
+    """
+    c = lowered(chunks.select("chunk_id", "company", "document_id", "form_type", "section", "text"), "text", "low").drop("text").alias("c")
+    own = lowered(specs.select("spec_id", "company", "form_type", "accession", "section_prefix", "must_contain"), "must_contain", "needle")
+    by_filing = own.where("accession is not null").alias("s")
+    by_company = own.where("accession is null and company is not null").alias("s")
+    joined = [c.join(by_filing, (F.col("c.document_id") == F.col("s.accession")) & matches()), c.join(by_company, (F.col("c.company") == F.col("s.company")) & matches())]
+    rest = own.where("accession is null and company is null and (form_type is not null or section_prefix is not null or must_contain is not null)")
+    found = [j.select("s.spec_id", "c.chunk_id") for j in joined]
+    return reduce(DataFrame.unionByName, [*found, *_scanned(rest, c)])
+
+
+def _scanned(specs: DataFrame, chunks: DataFrame) -> Iterator[DataFrame]:
+    kind = dict(specs.dtypes)["spec_id"]
+    rows: list = []
+    block: list[list] = []
+    for r in specs.select("spec_id", "form_type", "section_prefix", "needle").toLocalIterator():
+        rows.append(tuple(r))
+        if len(rows) == BLOCK:
+            block.append(rows)
+            rows = []
+    for own in [*block, rows] if rows else block:
+        sent = chunks.sparkSession.sparkContext.broadcast(own)
+
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            search = _Block(sent.value)
+            for batch in batches:
+                spec, at = [], []
+                for i, (form, section, low) in enumerate(zip(*(batch.column(j).to_pylist() for j in (1, 2, 3)), strict=True)):
+                    for n in search.hits(form, section or "", low):
+                        spec.append(search.rows[n][0])
+                        at.append(i)
+                yield pa.RecordBatch.from_arrays([pa.array(spec, pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), batch.column(0).take(pa.array(at, pa.int32()))], names=["spec_id", "chunk_id"])
+
+        yield chunks.select("c.chunk_id", "c.form_type", "c.section", "c.low").mapInArrow(scan, f"spec_id {kind}, chunk_id {dict(chunks.dtypes)['chunk_id']}")
+
+
+class _Block:
+    """Specifications by their words, and those without by form and prefix."""
+
+    def __init__(self, rows: list[tuple]):
+        self.rows = rows
+        self.auto = ahocorasick.Automaton()
+        needles: dict[str, list[int]] = {}
+        self.plain: dict[tuple, list[int]] = {}
+        for n, (_, form, prefix, needle) in enumerate(rows):
+            if needle:
+                needles.setdefault(needle, []).append(n)
+            else:
+                self.plain.setdefault((form, prefix or ""), []).append(n)
+        for needle, own in needles.items():
+            self.auto.add_word(needle, own)
+        if needles:
+            self.auto.make_automaton()
+        self.words = bool(needles)
+        self.sizes = sorted({len(prefix) for _, prefix in self.plain})
+        # an empty text holds empty words only, a null one none
+        self.bare = {n for own in self.plain.values() for n in own if rows[n][3] == ""}
+
+    def hits(self, form: str | None, section: str, low: str | None) -> set[int]:
+        found: set[int] = set()
+        if self.words and low:
+            for _, own in self.auto.iter(low):
+                found.update(n for n in own if self.rows[n][1] in (None, form) and section.startswith(self.rows[n][2] or ""))
+        for size in self.sizes:
+            for f in {None, form}:
+                found.update(self.plain.get((f, section[:size]), ()) if len(section) >= size else ())
+        return found - self.bare if low is None else found
 
 
 def universe(specs: DataFrame, chunks: DataFrame) -> DataFrame:
     """``(question_id, spec_id, chunks)``: how many chunks each specification matches, 0 too."""
-    counts = _sides(specs, chunks).groupBy("s.spec_id").agg(F.count(F.lit(1)).alias("chunks"))
+    counts = pairs(specs, chunks).groupBy("spec_id").agg(F.count(F.lit(1)).alias("chunks"))
     return specs.select("question_id", "spec_id").join(counts, "spec_id", "left").fillna(0, ["chunks"])
 
 
 def relevant_universe(specs: DataFrame, chunks: DataFrame) -> DataFrame:
     """``(question_id, relevant_universe)``: chunks that match any of a question's specifications."""
-    pairs = _sides(specs, chunks).select("s.question_id", "c.chunk_id").distinct()
-    counts = pairs.groupBy("question_id").agg(F.count(F.lit(1)).alias("relevant_universe"))
+    asked = specs.select("question_id", "spec_id").distinct()
+    found = pairs(specs, chunks).join(asked, "spec_id").select("question_id", "chunk_id").distinct()
+    counts = found.groupBy("question_id").agg(F.count(F.lit(1)).alias("relevant_universe"))
     return specs.select("question_id").distinct().join(counts, "question_id", "left").fillna(0, ["relevant_universe"])
 
 
-#: Specifications that may be sent to every task; a golden set has some dozens.
-MOST_SPECS = 100_000
-
-
-def bounded(specs: DataFrame) -> DataFrame:
-    n = specs.limit(MOST_SPECS + 1).count()
-    if n > MOST_SPECS:
-        raise ValueError(f"more than {MOST_SPECS} specifications; evaluate them in parts")
-    return specs
-
-
 def dead_specs(specs: DataFrame, chunks: DataFrame) -> DataFrame:
     """Specifications that no chunk matches."""
     return universe(specs, chunks).where("chunks = 0").select("question_id", "spec_id")
@@ -143,3 +212,15 @@ def by_type(judgments: DataFrame, types: list[str]) -> DataFrame:
 def misses(judgments: DataFrame) -> DataFrame:
     """Questions that should be answered and got no relevant hit."""
     return judgments.where("not should_refuse and first_rank is null").select("question_id")
+
+
+def latencies(judgments: DataFrame, by: list[str]) -> DataFrame:
+    """Median and 95th percentile of ``latency_ms``, by nearest rank."""
+    return quantiles.nearest_rank(judgments, by, "latency_ms", {"p50": 50, "p95": 95})
+
+
+def golden_counts(questions: DataFrame) -> DataFrame:
+    """One row: how many golden questions there are, were verified, are to be answered and to be refused."""
+    return questions.agg(
+        F.count(F.lit(1)).alias("questions"), F.count_if("verified").alias("verified"), F.count_if(~F.col("refuse")).alias("in_corpus"), F.count_if("refuse").alias("out_of_corpus")
+    )

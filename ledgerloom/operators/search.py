@@ -7,9 +7,10 @@ its best rows of each leg, and only those are shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -47,6 +48,7 @@ class _Block:
         self.keys = [(r.question_id, r.nth) for r in rows]
         self.filters = [(r.company, r.document_id) for r in rows]
         self.queries = [english.parse_query(r.query or "") for r in rows]
+        self.beginnings: ahocorasick.Automaton | None = None  # made where it's needed
         vectors = [r.vector for r in rows]
         size = next((len(v) for v in vectors if v), 0)
         matrix = np.array([v if v and len(v) == size else [np.nan] * size for v in vectors], dtype=float).reshape(len(rows), size)
@@ -161,11 +163,21 @@ def vector_hits(chunks: DataFrame, legs: DataFrame, most: int) -> DataFrame:
     return _leg_hits(chunks.select("chunk_id", "company", "document_id", "embedding"), legs, most, best)
 
 
+def _beginnings(stems: Iterable[str]) -> ahocorasick.Automaton:
+    """What a word with one of the stems must begin with: stemming adds at most one letter to a word's beginning."""
+    auto = ahocorasick.Automaton()
+    for s in stems:
+        auto.add_word(s[:-1] or s, None)
+    auto.make_automaton()
+    return auto
+
+
 def text_hits(chunks: DataFrame, legs: DataFrame, most: int) -> DataFrame:
     """Chunks that match each leg's query in English full text, by cover density.
 
     ``chunks``: ``(chunk_id, company, document_id, text)``. A query without a word that carries meaning
-    matches nothing. Texts are analysed whole, once for all legs of a block.
+    matches nothing. Texts are analysed whole, once for all legs of a block, and only those with a word that
+    begins like the longest stem of some leg.
     """
 
     def score(block: _Block, batch: pa.RecordBatch) -> Iterator:
@@ -174,9 +186,14 @@ def text_hits(chunks: DataFrame, legs: DataFrame, most: int) -> DataFrame:
         by_rarest: dict[str, list[int]] = {}
         for n, stems in enumerate(needed):
             by_rarest.setdefault(max(stems, key=len), []).append(n)
+        if not by_rarest:
+            return
         masks = _masks(block, batch)
+        if block.beginnings is None:
+            block.beginnings = _beginnings(by_rarest)
         for row, text in enumerate(batch.column(3).to_pylist()):
-            if not text:
+            # most texts hold no word that could have one of the stems, and needn't be analysed
+            if not text or next(block.beginnings.iter(text.lower()), None) is None:
                 continue
             where: dict[str, list[int]] = {}
             for s, at in english.analyse(text):
@@ -290,14 +307,19 @@ def filing_legs(questions: DataFrame, documents: DataFrame, most: int = 4) -> Da
     return own.select("question_id", "query", "vector", (F.col("place") - 1).alias("nth"), F.lit(None).cast("string").alias("company"), "document_id")
 
 
+def corpus_companies(documents: DataFrame) -> DataFrame:
+    """``(document_id, company, form_type)`` of each filing, once; the company is its number as text."""
+    return documents.groupBy(F.col("accession_no").alias("document_id")).agg(
+        F.min(F.regexp_replace("cik", "[^0-9]", "").cast("bigint")).cast("string").alias("company"), F.min(F.upper(F.trim("form_type"))).alias("form_type")
+    )
+
+
 def corpus(chunks: DataFrame, vectors: DataFrame, documents: DataFrame, strategy: str, params: str) -> DataFrame:
     """``(chunk_id, document_id, section, text, company, form_type, embedding)`` of the chunks of one set.
 
     The company is its number as text, so that spellings don't matter. Chunks without a vector stay, with null.
     """
-    filings = documents.groupBy(F.col("accession_no").alias("document_id")).agg(
-        F.min(F.regexp_replace("cik", "[^0-9]", "").cast("bigint")).cast("string").alias("company"), F.min(F.upper(F.trim("form_type"))).alias("form_type")
-    )
+    filings = corpus_companies(documents)
     own = chunks.where((F.col("strategy") == strategy) & (F.col("params_hash") == params)).select("chunk_id", "document_id", "section", "text", "content_hash")
     own = spread(own)
     return own.join(filings, "document_id").join(vectors.select("content_hash", "embedding"), "content_hash", "left").drop("content_hash")

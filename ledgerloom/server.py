@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.api import MOST_HITS, Engine
-from ledgerloom.operators import quantiles
+from ledgerloom.operators import catalog, quantiles
 from ledgerloom.streaming.streams import MOST, WINDOW_S, admit
 
 SHORTEST, LONGEST = 3, 500
@@ -48,15 +48,18 @@ def metrics(runs: DataFrame) -> dict:
 class Service:
     """One engine, a limiter for each client, and the runs to report on."""
 
-    def __init__(self, spark: SparkSession, engine: Engine, runs: DataFrame, most: int = MOST, window: float = WINDOW_S):
-        self.spark, self.engine, self.runs, self.most, self.window = spark, engine, runs, most, window
+    def __init__(self, spark: SparkSession, engine: Engine, runs: DataFrame, most: int = MOST, window: float = WINDOW_S, store: catalog.Store | None = None):
+        """With a ``store``, every question is logged there and counts in the metrics; ``runs`` are those before."""
+        self.spark, self.engine, self.runs, self.most, self.window, self.store = spark, engine, runs, most, window, store
         self.kept: dict[str, list[float]] = {}
 
     def handle(self, method: str, path: str, body: bytes, client: str, now: float | None = None) -> tuple[int, dict]:
         if (method, path) == ("GET", "/health"):
             return 200, {"status": "ok", "spark": self.spark.version}
         if (method, path) == ("GET", "/metrics"):
-            return 200, metrics(self.runs)
+            logged = self.store.read("query_runs", catalog.RUNS) if self.store else None
+            columns = ["refused", "latency_ms"]
+            return 200, metrics(self.runs.select(columns) if logged is None else self.runs.select(columns).unionByName(logged.select(columns)))
         if (method, path) != ("POST", "/query"):
             return 404, {"error": "not found"}
         self.kept[client], allowed = admit(self.kept.get(client, []), time.monotonic() if now is None else now, self.most, self.window)
@@ -67,7 +70,8 @@ class Service:
         except ValueError as e:
             return 422, {"error": str(e)}
         asked = self.spark.createDataFrame([(1, question)], "question_id long, query string")
-        row = self.engine.ask(asked, k, mode).drop("question_id").first()
+        answers = self.engine.ask(asked, k, mode) if self.store is None else self.engine.ask_logged(self.store, asked, k, mode)
+        row = answers.drop("question_id").first()
         return 200, row.asDict(recursive=True)
 
 

@@ -46,6 +46,15 @@ def test_text_and_hybrid(spark, chunks):
     assert [(r.question_id, r.chunk_id, r.score) for r in simple] == [(1, 1, 3.0), (1, 3, 3.0)]
 
 
+def test_words_begin_like_their_stems(spark):
+    # what text_hits passes texts over by
+    from ledgerloom.functions import english
+
+    words = {w for (t,) in spark.read.parquet("/root/testdata/sf0.001/chunks.parquet").select("text").collect() for w in english.WORD.findall((t or "").lower())}
+    words |= set("relational sizing filing hopping happily valency conflated possibly vietnamization agreed operators falling companies dying skies".split())
+    assert len(words) > 500 and all(w.startswith(english.stem(w)[:-1]) for w in words)
+
+
 def test_fusion_prefers_the_first_list(spark):
     one = spark.createDataFrame([(1, 0, 10, 1), (1, 0, 20, 2)], "question_id long, nth int, chunk_id long, rank int")
     two = spark.createDataFrame([(1, 0, 30, 1), (1, 0, 20, 2)], "question_id long, nth int, chunk_id long, rank int")

@@ -31,6 +31,11 @@ def test_search_ask_and_lookup(spark, engine):
     one = engine.get_chunk(text.chunk_id).first()
     assert one.chunk_id == text.chunk_id and engine.get_chunk(-1).isEmpty()
     assert engine.list_companies().count() > 0
+    # a company by any of its spellings
+    name = engine.documents.where("company is not null").orderBy("doc_id").first()
+    assert engine.company_number(name.company.upper()) == engine.company_number(name.cik) == str(int(name.cik)) and engine.company_number("Nobody & Sons") == "Nobody & Sons"
+    own = engine.search(asked, 5, "vector", company=name.company)
+    assert {r.company for r in own.collect()} <= {str(int(name.cik))}
 
 
 def test_runs_are_logged_in_order(spark, engine, tmp_path):
@@ -64,7 +69,7 @@ def test_evaluation_report(spark, engine):
 
 
 def test_command_line(capsys, tmp_path):
-    assert cli.main(["version"]) == 0
+    assert cli.main(["version"]) == 0 and cli.main(["export-graph"]) == 0 and "[grade] --> " in capsys.readouterr().out
     assert cli.main(["--data", FOLDER, "check"]) == 0
     assert '"documents": ' in capsys.readouterr().out
     assert cli.main(["--data", FOLDER, "get-chunk", "-5"]) == 1
@@ -73,7 +78,7 @@ def test_command_line(capsys, tmp_path):
     assert cli.main(["--data", FOLDER, "check-golden", str(golden)]) == 1
 
 
-def test_service(spark, engine):
+def test_service(spark, engine, tmp_path):
     runs = spark.read.parquet(f"{FOLDER}/query_runs.parquet")
     s = server.Service(spark, engine, runs, most=3)
     assert s.handle("GET", "/health", b"", "a")[0] == 200
@@ -82,5 +87,9 @@ def test_service(spark, engine):
     assert server.metrics(runs.where(F.lit(False))) == {"queries": 0, "refusal_rate": 0.0, "p50_ms": 0.0, "p95_ms": 0.0}
     bad = [b"{", b'{"question": "ab"}', json.dumps({"question": "x" * 501}).encode(), b'{"question": "fine one", "k": 21}']
     assert [s.handle("POST", "/query", b, "c", 0.0)[0] for b in bad] == [422, 422, 422, 429]
+    # with a store, every question is logged and counts
+    logging = server.Service(spark, engine, runs, store=catalog.Store(spark, str(tmp_path)))
+    assert logging.handle("POST", "/query", b'{"question": "What does Zeta Motors sell?"}', "e", 0.0)[0] == 200
+    assert logging.handle("GET", "/metrics", b"", "a")[1]["queries"] == told["queries"] + 1
     status, out = s.handle("POST", "/query", b'{"question": "What does Zeta Motors sell?"}', "d", 0.0)
     assert status == 200 and out["refused"] and s.handle("GET", "/nope", b"", "a")[0] == 404
