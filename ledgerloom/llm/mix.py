@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.text import token_count
 from ledgerloom.session import durable, spread
 
-#: Parts of a pattern within which texts are put in order.
-PARTS = 1024
+#: Parts of a pattern, at least, within which texts are put in order, and texts of a part, about, where there are more.
+PARTS, PART_TEXTS = 1024, 100_000
 #: Cost of a token that a source lacks; more than any repetition.
 LACK = 10_000
 
@@ -137,7 +137,9 @@ def selection(documents: DataFrame, targets: DataFrame, total: int | None = None
     for r in targets.select(source_name(F.col("source")).alias("s"), "target_share", "max_repeats").where("s is not null").collect():
         share, repeats = wanted.get(r.s, (0.0, 1 << 30))
         wanted[r.s] = share + max(0.0, r.target_share or 0.0), min(repeats, max(0, r.max_repeats or 0))
-    capacity = {tuple(r.pattern): r.tokens for r in texts.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).collect()}
+    patterns = texts.groupBy("pattern").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()
+    capacity = {tuple(r.pattern): r.tokens for r in patterns}
+    parts = max([PARTS, *(-(-r.n // PART_TEXTS) for r in patterns)])
     if total is None:
         total = largest_total(capacity, wanted)
     spans, at = [], {}
@@ -149,7 +151,7 @@ def selection(documents: DataFrame, targets: DataFrame, total: int | None = None
     plan = spark.createDataFrame(spans, "pattern array<string>, tier int, source string, low long, high long")
 
     # a running sum over each pattern in seeded order: parts first, then within each part
-    drawn = texts.withColumn("draw", F.xxhash64("unit", F.lit(seed))).withColumn("part", F.pmod("draw", F.lit(PARTS)))
+    drawn = texts.withColumn("draw", F.xxhash64("unit", F.lit(seed))).withColumn("part", F.pmod("draw", F.lit(parts)))
     sums = drawn.groupBy("pattern", "part").agg(F.sum("tokens").alias("sum"))
     before = F.sum("sum").over(Window.partitionBy("pattern").orderBy("part")) - F.col("sum")
     sums = sums.select("pattern", "part", before.alias("before"))

@@ -146,11 +146,30 @@ def test_thresholds_follow_the_labels(spark):
     assert subjects.calibrated(scores, labels.limit(0)) == {}
 
 
-def test_labelled_documents(spark):
-    folder = "/root/testdata/sf0.01"
+def test_terms_are_learned_from_labels(spark):
+    # words of a subject that nobody curated, and names that stand everywhere
+    texts = [(i, f"Acme sells. The zorbine flux grew near Acme in {i}." if i % 4 == 0 else "Acme sells. Margins of Acme fell.") for i in range(80)]
+    df = spark.createDataFrame([*texts, (900, None), (901, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "energy" if i % 4 == 0 else "none") for i in range(80)] + [(900, "energy"), (None, "law"), (5, None)], "doc_id long, subject string")
+    got = subjects.learned_terms(df, labels, known={"grew near"})
+    assert {t for t, *_ in got} == {"zorbine", "flux", "grew", "near", "the zorbine", "zorbine flux", "flux grew", "near acme", "acme in"} and {s for _, s, _ in got} == {"energy"}
+    assert subjects.learned_terms(df, labels.limit(0)) == [] and subjects.learned_terms(df.limit(0), labels) == []
+
+
+def test_held_out_labels(spark):
+    # learned and calibrated on four fifths of the labelled documents, judged by the last
+    folder = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "subject_labels"))
-    got = {(r.doc_id, r.subject) for r in subjects.assign_subjects(docs).collect()}
-    known = {r.doc_id for r in labels.collect()}
-    want = {(r.doc_id, r.subject) for r in labels.collect() if r.subject != "none"}
+    got = {(r.doc_id, r.subject) for r in subjects.assign_subjects(docs, labels.where("doc_id % 5 <> 0")).collect()}
+    held = labels.where("doc_id % 5 = 0").collect()
+    known, want = {r.doc_id for r in held}, {(r.doc_id, r.subject) for r in held if r.subject != "none"}
     said = {x for x in got if x[0] in known}
-    assert len(said & want) >= 0.95 * max(len(said), len(want))
+    f1 = 2 * len(said & want) / (len(said) + len(want))
+    print(f"F1 {f1:.4f} over {len(want)} held-out labels")
+    assert f1 >= 0.95
+
+
+def test_most_curated_terms_are_of_no_corpus(spark):
+    whole = " ".join(r.text.lower() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").select("text").collect())
+    terms = subjects.curated()
+    assert sum(t in whole for t, *_ in terms) < len(terms) / 2
