@@ -124,8 +124,8 @@ QUERIES = {
     "p6_found": p6_found,
     "p8_found": p8_found,
     "p8_spans": p8_spans,
-    "p9_mix": p9_mix,
     "p9_selection": p9_selection,
+    "p9_mix": p9_mix,
     "p10_found": p10_found,
 }
 
