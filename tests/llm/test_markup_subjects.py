@@ -5,6 +5,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import markup, subjects
 from ledgerloom.llm.boost import Boosted
@@ -156,6 +157,19 @@ def test_terms_are_learned_from_labels(spark):
     assert subjects.learned_terms(df, labels.limit(0)) == [] and subjects.learned_terms(df.limit(0), labels) == []
 
 
+@pytest.mark.parametrize("most", [4_000, 20_000])
+def test_every_labelled_document_counts(spark, most):
+    # those that a sample of so many by a hash of the key leaves out decide
+    ids = spark.range(most + 40).select(F.col("id").alias("doc_id"))
+    last = {r.doc_id for r in ids.orderBy(F.xxhash64("doc_id").desc()).limit(40).collect()}
+    labels = ids.withColumn("subject", F.when(F.col("doc_id").isin(last), "energy").otherwise("none"))
+    docs = ids.withColumn("text", F.when(F.col("doc_id").isin(last), "Zorbine flux.").otherwise("Acme fell."))
+    scores = labels.where("subject = 'energy'").withColumn("score", F.lit(0.43))
+    if most == 4_000:
+        assert subjects.learned_terms(docs, labels) == [(t, "energy", 1.0) for t in ("flux", "zorbine", "zorbine flux")]
+    assert subjects.calibrated(scores, labels) == {"energy": 0.42}
+
+
 def test_held_out_labels(spark):
     # learned and calibrated on four fifths of the labelled documents, judged by the last
     folder = "/root/testdata/sf0.1"
